@@ -1,10 +1,13 @@
-"""The queries of this subpackage, and their SQL where DuckDB can express them."""
+"""The queries of this subpackage: each applies an operator with production parameters to its whole table."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserae.llm import near_dup
+from tesserae.llm import bpe_codec, chunk_dedup, decontaminate, lang_id, near_dup, pii, quality, sharding, suffix_dedup, token_store
+from tesserae.llm.oracle import SQL  # noqa: F401
 from tesserae.llm.work import table
 
 
@@ -12,24 +15,49 @@ def op1_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("n_links")
 
 
-QUERIES = {"op1_minhash_near_dup": op1_minhash_near_dup}
-
-WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
-LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-SQL = {
-    "op1_minhash_near_dup": f"""
-with recursive w as (select doc_id, {WORDS.format(LOWER)} as w from documents),
-s as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
-        else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from w),
-n as (select doc_id, len(s) as n from s),
-x as (select doc_id, unnest(s) as g from s),
-rare as (select g from x group by g having count(*) > 1),
-y as (select x.doc_id, hash(x.g) as g from x join rare using (g)),
-p as (select a.doc_id as a, b.doc_id as b, count(*) as both_ from y a join y b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
-l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * both_ >= 85 * (na.n + nb.n - both_)),
-e as (select a, b from l union all select b, a from l),
-r(node, root) as (select doc_id, doc_id from n union select e.b, r.root from r join e on e.a = r.node),
-c as (select node, min(root) as component_id from r group by node)
-select n.doc_id, n.n::bigint as n_shingles, c.component_id, n.doc_id = c.component_id as kept from n join c on c.node = n.doc_id""",
-}
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_key(table(spark, sf_dir, "documents"), 16)
+
+
+def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents")).drop("class_distance", "common_distance")
+
+
+def removal(df: DataFrame) -> DataFrame:
+    """The digest of what a deduplication by spans returns."""
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return df.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400))
+
+
+def op6_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal(chunk_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_store.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_store.read_tokens(spark, folder, ids=False)
+
+
+def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dup, op2_decontamination, op3_jump_sharding, op4_quality_divergence, op5_suffix_dedup, op6_pii_disclosure, op7_chunk_dedup, op8_language_id, op9_rans_tokens, op10_bpe_chunk_reuse)}
