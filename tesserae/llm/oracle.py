@@ -79,6 +79,12 @@ def quality(source: str = "documents") -> str:
             parts += [term.format(x=x, a=a, b=b) for x in (a, b)]
         return f"case when {p} > 0 and {q} > 0 then sqrt(greatest(({' + '.join(parts)}) / ln(2.0), 0)) else 0 end"
 
+    def compared(i: int) -> str:
+        good = "ql_b where not base_failed" if i == 1 else "ql_j1 where not base_failed and not diverges"
+        return f"""ql_q{i} as (select lang, {', '.join(f'sum({c})::double as q_{c}' for c in names)} from {good} group by lang),
+ql_d{i} as (select ql_b.*, {distance('c')} as class_distance, {distance('w')} as common_distance from ql_b left join ql_q{i} using (lang)),
+ql_j{i} as (select *, ({'+'.join(c for c in names if c[0] == 'c')} >= {MIN_CHARS} and class_distance > {MOST_CLASSES}) or (n_words >= {MIN_WORDS} and common_distance > {MOST_COMMON}) as diverges from ql_d{i}),"""
+
     return f"""ql_t as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text from {source}),
 ql_w as (select *, {_WORDS.format('text')} as w, {lists}[lang] as known from ql_t),
 ql_v as (select doc_id, unnest(range(1, len(w) - 3)) as i, w from ql_w where len(w) >= 5),
@@ -91,10 +97,8 @@ ql_c as (select doc_id, {', '.join(left[:1])}, text, lang, w, known from ql_w),
 ql_f as (select doc_id, lang, len(w) as n_words, length(text) - (length(left0) - length(left1)) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, {', '.join(taken)}, {', '.join(common)} from ql_c{len(left) - 1}),
 ql_b as (select ql_f.*, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(ql_o.n, 0) as n_repeat_words, n_words < 10 or 100 * coalesce(ql_o.n, 0) > 20 * n_words as base_failed
   from ql_f join ql_l using (doc_id) left join ql_o using (doc_id)),
-ql_q as (select lang, {', '.join(f'sum({c})::double as q_{c}' for c in names)} from ql_b where not base_failed group by lang),
-ql_j as (select ql_b.*, {distance('c')} as class_distance, {distance('w')} as common_distance from ql_b left join ql_q using (lang)),
-quality as (select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
-  not base_failed and not ({'+'.join(c for c in names if c[0] == 'c')} >= {MIN_CHARS} and class_distance > {MOST_CLASSES}) and not (n_words >= {MIN_WORDS} and common_distance > {MOST_COMMON}) as kept from ql_j)"""
+{''.join(compared(i) for i in (1, 2))}
+quality as (select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed, not base_failed and not diverges as kept from ql_j2)"""
 
 
 SQL = {

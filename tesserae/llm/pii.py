@@ -84,7 +84,8 @@ def base_spans(text: Column) -> Column:
     out = []
     for k, (kind, (pattern, hint)) in enumerate(KINDS.items()):
         may = F.contains(text, F.lit(hint)) if len(hint) == 1 else text.rlike(hint)
-        found = F.filter(_places(text, pattern, k), lambda s, kind=kind: VALID[kind](s["value"]))
+        test = VALID[kind]
+        found = F.filter(_places(text, pattern, k), lambda s: test(s["value"]))  # called at once, with this kind's test
         out.append(F.when(may, found).otherwise(F.array().cast(_SPAN)))
     both = F.concat(*out)
     return F.when(F.size(both) > 1, F.array_sort(both)).otherwise(both)
@@ -135,7 +136,7 @@ def listed(spans: Column) -> Column:
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts of each kind, the digest of the base spans, and all spans as text."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]  # noqa: B023
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 

@@ -1,9 +1,10 @@
 """Quality rules: base counts, and divergence of a document's distributions from its language's. DataFrame functions only.
 
 Two histograms of each document, of its characters' classes and of its language's commonest words, are compared with
-the language's own by the Jensen-Shannon distance (the root of the divergence in bits). A language's reference is the
-sum of the histograms of all its documents that pass the base rules, gathered over the whole table. Texts shorter
-than the guards are not judged by a distance, as their histograms are noise.
+the language's own by the Jensen-Shannon distance (the root of the divergence in bits). A language's first reference is
+the sum of the histograms of all its documents that pass the base rules, gathered over the whole table; documents far
+from it are left out of the second, which gives the verdict. Texts shorter than the guards are not judged by a
+distance, as their histograms are noise.
 
 Defined results: a null text is empty and fails for having under 10 words; a null or unlisted language has a
 reference of character classes of its own and no word test; rows alike are judged alike; an empty table gives no rows;
@@ -28,10 +29,10 @@ COMMON = {
 }
 N_COMMON = 12
 #: Character classes, taken out of the text one after the other; what is left is the last class.
-CLASSES = {"lower": "[a-z]+", "space": _SPACE, "upper": "[A-Z]+", "digit": "[0-9]+", "symbol": "[#*$%&|<>=_@{}\\[\\]\\\\/~^+]+", "letter": "\\p{L}+"}
+CLASSES = {"plain": "[a-z0-9]+", "space": _SPACE, "upper": "[A-Z]+", "symbol": "[#*$%&|<>=~^{}]+", "letter": "\\p{L}+"}
 #: Least characters and words for each distance, and the distances beyond which a document goes.
 MIN_CHARS, MIN_WORDS = 200, 50
-MOST_CLASSES, MOST_COMMON = 0.20, 0.45
+MOST_CLASSES, MOST_COMMON = 0.18, 0.45
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -81,27 +82,35 @@ def _covered(wins: Column) -> Column:
     return let(let(pairs, lambda s: F.array_sort(twice(s))), width)
 
 
-def distance(p: list[Column], q: list[Column]) -> Column:
-    """Jensen-Shannon distance of two histograms of counts; null if one is empty."""
-    p_all, q_all = sum(p[1:], p[0]), sum(q[1:], q[0])
-    total = F.lit(0.0)
-    for a, b in zip(p, q):
-        a, b = F.try_divide(a.cast("double"), p_all.cast("double")), F.try_divide(b.cast("double"), q_all.cast("double"))
-        for x in (a, b):
-            total = total + F.when(x > 0, 0.5 * x * F.ln(2 * x / (a + b))).when(x.isNotNull(), 0.0)
+def distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two histograms (arrays of counts); null if one is missing or empty."""
+
+    def shares(x: Column) -> Column:
+        return let(F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v), lambda total: F.transform(x, lambda v: F.try_divide(v.cast("double"), total.cast("double"))))
+
+    def term(x: Column, both: Column) -> Column:
+        return F.when(x > 0, 0.5 * x * F.ln(2 * x / both)).when(x.isNotNull(), 0.0)
+
+    pairs = F.zip_with(shares(p), shares(q), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    total = F.aggregate(pairs, F.lit(0.0), lambda t, x: t + term(x["a"], x["a"] + x["b"]) + term(x["b"], x["a"] + x["b"]))
     return F.sqrt(F.greatest(total / F.ln(F.lit(2.0)), F.lit(0.0)))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, class_distance, common_distance, base_failed and kept of each document."""
     rows = written(features(docs), "features")
+    first = _compared(rows, rows.where("not base_failed"))
+    second = _compared(rows, first.where("not base_failed and not diverges"))
+    return second.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("diverges")).alias("kept"), "class_distance", "common_distance")
+
+
+def _compared(rows: DataFrame, good: DataFrame) -> DataFrame:
+    """rows with both distances to the sums of the good rows of their language, and whether one is too large."""
     names = _columns()
-    sums = rows.where("not base_failed").groupBy("lang").agg(*(F.sum(c).alias(f"q_{c}") for c in names))
-    sums = written(sums.withColumnRenamed("lang", "q_lang"), "references")
+    sums = written(good.groupBy("lang").agg(*(F.sum(c).alias(f"q_{c}") for c in names)).withColumnRenamed("lang", "q_lang"), "references")
     d = rows.join(small(sums), F.col("lang") == F.col("q_lang"), "left")
-    cs, ws = [c for c in names if c[0] == "c"], [c for c in names if c[0] == "w"]
-    col = lambda xs, prefix="": [F.col(prefix + x) for x in xs]
-    d = d.withColumn("class_distance", distance(col(cs), col(cs, "q_"))).withColumn("common_distance", distance(col(ws), col(ws, "q_")))
-    chars = sum(col(cs)[1:], F.col("c0"))
-    bad = ((chars >= MIN_CHARS) & (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASSES)) | ((F.col("n_words") >= MIN_WORDS) & (F.coalesce("common_distance", F.lit(0.0)) > MOST_COMMON))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"), "class_distance", "common_distance")
+    of = {kind: [F.array(*(F.col(x + c) for c in names if c[0] == kind)) for x in ("", "q_")] for kind in "cw"}
+    d = d.withColumn("class_distance", distance(*of["c"])).withColumn("common_distance", distance(*of["w"]))
+    chars = F.aggregate(of["c"][0], F.lit(0).cast("long"), lambda a, v: a + v)
+    far = ((chars >= MIN_CHARS) & (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASSES)) | ((F.col("n_words") >= MIN_WORDS) & (F.coalesce("common_distance", F.lit(0.0)) > MOST_COMMON))
+    return d.withColumn("diverges", far)

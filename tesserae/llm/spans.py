@@ -52,7 +52,7 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 kept.append(b"".join([text[a:b] for a, b in edges]))
             yield pa.RecordBatch.from_arrays([names, pa.array(size, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
-    gathered = spans.groupBy("doc_id", "tid").agg(F.collect_list(F.struct(F.col("start").cast("long"), F.col("end").cast("long"))).alias("spans"))
+    gathered = spans.groupBy("doc_id", "tid").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("spans"))
     gathered = gathered.select(F.col("doc_id").alias("d"), F.col("tid").alias("t"), "spans")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_id().alias("tid"))
     both = texts.join(gathered, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")), "left")
