@@ -6,8 +6,10 @@ estimates their similarity, corrected for chance collisions of the low bits; can
 about five standard deviations under the threshold go, and the others are confirmed on their full sets.
 
 Groups of any size are safe. Equal sets are one class from the start. In a band's bucket each class is paired with
-the bucket's smallest class only. What such stars leave unconnected is compared inside the join's condition (only
-pairs whose signatures agree come out), and only across components, so a bucket never yields all its pairs.
+the bucket's smallest class only. What such stars leave unconnected is compared inside the join's condition, and only
+across components: by the estimate, and then by the parities of PARITY counters of the set's hashes. Each shingle that
+only one of two sets has flips one parity, so more flips than a linked pair may have such shingles rule a link out with
+certainty. So a bucket never yields all its pairs, and hardly any that are not links.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; fewer words than a shingle make
 one shingle of the whole sequence; a null doc_id is linked with nothing and kept; rows with one doc_id are one node;
@@ -30,6 +32,8 @@ from tesserae.llm.work import written
 
 #: Low bits kept of each minimum, and minima in a band.
 BITS, ROWS = 4, 4
+#: Parity counters of a set (a power of 2).
+PARITY = 4096
 
 
 def n_bands(threshold: float, miss: float = 1e-7) -> int:
@@ -37,8 +41,17 @@ def n_bands(threshold: float, miss: float = 1e-7) -> int:
     return math.ceil(math.log(miss) / math.log1p(-(threshold**ROWS)))
 
 
+def set_digest(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of each set's mixed hashes; equal sets have equal ones, and empty sets zero."""
+    out = np.zeros(len(ends) - 1, np.int64)
+    full = np.flatnonzero(np.diff(ends))
+    if len(full):
+        out[full] = mix(np.add.reduceat(mix(h ^ U64(0xA5A5A5A5A5A5A5A5)), ends[:-1][full])).view(np.int64)
+    return out
+
+
 def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sig array<long>, bands array<long>): d1 and d2 are a digest of the set."""
+    """(doc_id, n_shingles, d1, sig array<long>, bands array<long>): d1 is a digest of the set."""
     bands = n_bands(threshold)
     n = bands * ROWS
     rng = np.random.default_rng(20240607)
@@ -57,10 +70,7 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                 if len(full):
                     for i in range(n):
                         minima[:, i] = np.minimum.reduceat(h * mul[i] + add[i], starts)
-                digest = np.zeros((len(size), 2), np.int64)
-                if len(full):
-                    for i, salt in enumerate((0xA5A5A5A5A5A5A5A5, 0x0F1E2D3C4B5A6978)):
-                        digest[full, i] = np.add.reduceat(mix(h ^ U64(salt)), starts).view(np.int64)
+                digest = set_digest(h, ends)
                 key = np.zeros((len(full), bands), U64)
                 for i in range(ROWS):
                     key = mix(key ^ minima[:, i::ROWS]) + np.arange(bands, dtype=U64)
@@ -73,27 +83,33 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                     [
                         ids.slice(at, len(size)),
                         pa.array(size, pa.int64()),
-                        pa.array(digest[:, 0]),
-                        pa.array(digest[:, 1]),
+                        pa.array(digest),
                         list_array(packed.ravel().view(np.int64), row_of * longs, pa.int64()),
                         list_array(key.ravel().view(np.int64), row_of * bands, pa.int64()),
                     ],
-                    ["doc_id", "n_shingles", "d1", "d2", "sig", "bands"],
+                    ["doc_id", "n_shingles", "d1", "sig", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, d1 long, sig array<long>, bands array<long>")
 
 
 def shingle_table(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles): the sorted hashes of each document's set."""
+    """(rep, shingles, parity): each set's digest, its sorted hashes, and their parities packed into longs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, offsets in text_slices(batch, "text"):
+            for _, data, offsets in text_slices(batch, "text"):
                 h, ends = shingle_sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ends) - 1), list_array(h.view(np.int64), ends, pa.int64())], ["doc_id", "shingles"])
+                n = len(ends) - 1
+                counter = np.repeat(np.arange(n), np.diff(ends)) * PARITY + (h & U64(PARITY - 1)).astype(np.int64)
+                odd = (np.bincount(counter, minlength=n * PARITY) & 1).astype(np.uint8)
+                parity = np.packbits(odd).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(set_digest(h, ends)), list_array(h.view(np.int64), ends, pa.int64()), list_array(parity, np.arange(n + 1) * (PARITY // 64), pa.int64())],
+                    ["rep", "shingles", "parity"],
+                )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, shingles array<long>")
+    return docs.select("text").mapInArrow(rows, "rep long, shingles array<long>, parity array<long>")
 
 
 def estimate(a: Column, b: Column, n: int) -> Column:
@@ -120,40 +136,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     floor = threshold - 5.2 * math.sqrt(threshold * (1 - threshold) / n) / (1 - 2.0**-BITS)
     sigs = written(signatures(docs, k, threshold), "sigs")
     full = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = written(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    classes = written(full.groupBy("d1").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).withColumnRenamed("d1", "rep"), "classes")
     buckets = classes.select("rep", F.explode("bands").alias("key"))
     hubs = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
     member = written(buckets.join(hubs, "key"), "members")
+    sets = written(_sets(docs, member.select("rep").distinct().join(classes.select("rep", F.col("least").alias("doc_id")), "rep"), k), "sets")
     stars = member.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     sig = classes.select("rep", "sig")
     stars = written(_close(stars, sig, n, floor), "stars")
-    links = written(_confirmed(docs, stars, k, percent), "links")
+    links = written(_confirmed(stars, sets, percent), "links")
     label = components(links)
 
     # Where a bucket still holds several components: pairs across them that the stars did not try.
     parts = member.select("rep", "key").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     mixed = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    open_ = written(parts.join(mixed, "key").join(sig, "rep"), "open")
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "part", "sig"))) for s in "xy")
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("part_x") < F.col("part_y")) & (estimate(F.col("sig_x"), F.col("sig_y"), n) >= floor))
-    pairs = pairs.select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(_confirmed(docs, written(pairs, "pairs"), k, percent), "links")
-    links = links.unionAll(more)
-    label = components(links) if more.take(1) else label
+    marks = sets.select("rep", F.size("shingles").alias("n"), "parity")
+    open_ = written(parts.join(mixed, "key").join(sig, "rep").join(marks, "rep"), "open")
+    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "part", "sig", "n", "parity"))) for s in "xy")
+    flips = F.aggregate(F.zip_with("parity_x", "parity_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, v: a + v)
+    least, most = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
+    alike = (100 * least >= percent * most) & (estimate(F.col("sig_x"), F.col("sig_y"), n) >= floor) & ((100 + percent) * flips <= (100 - percent) * (least + most))
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("part_x") < F.col("part_y")) & alike)
+    pairs = pairs.select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
+    more = written(_confirmed(pairs, sets, percent), "links")
+    links = links.unionAll(more).distinct()
+    # One doc_id may stand on several rows with different texts; they are one node.
+    shared = full.groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("z")).where("a <> z").select("doc_id", "a")
+    shared = full.select("doc_id", F.col("d1").alias("b")).join(shared, "doc_id").where("a <> b").select("a", "b")
+    shared = written(shared, "shared")
+    if more.take(1) or shared.take(1):
+        label = components(links.unionAll(shared))
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = classes.select("d1", "d2", "n_shingles", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    # One doc_id may stand on several rows with different texts; they are one node.
-    same = full.groupBy("doc_id").agg(F.count_distinct("d1", "d2").alias("sets")).where("sets > 1").select("doc_id")
-    named = named.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sigs.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
-    if same.take(1):
-        out = written(out, "out")
-        across = components(out.where("doc_id is not null and c is not null").select(F.col("doc_id").alias("a"), F.col("c").alias("b")))
-        out = out.join(across.select(F.col("node").alias("doc_id"), F.col("component").alias("least")), "doc_id", "left").withColumn("c", F.least("c", "least"))
-    alone = F.col("c").isNull() | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("c"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (alone | (F.col("doc_id") == component)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = classes.select("rep", "least").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    first = named.groupBy("component").agg(F.min("least").alias("c"))
+    named = named.join(first, "component").join(degree, "rep", "left").select(F.col("rep").alias("d1"), "c", "n_links")
+    out = sigs.select("doc_id", "n_shingles", "d1").join(named, "d1", "left")
+    alone = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").isNull()
+    component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce(F.when(alone, None).otherwise(F.col("c")), F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"), F.when(alone, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
 
 
 def _close(pairs: DataFrame, sig: DataFrame, n: int, floor: float) -> DataFrame:
@@ -161,11 +182,14 @@ def _close(pairs: DataFrame, sig: DataFrame, n: int, floor: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(estimate(F.col("sig_a"), F.col("sig_b"), n) >= floor).select("a", "b")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full shingle sets are similar enough. Texts of documents in a pair alone are read again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = written(shingle_table(some, k), "sets")
-    a, b = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The shingle sets of the wanted classes (rep, doc_id); only the texts under their doc_ids are read again."""
+    some = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    return shingle_table(some, k).join(wanted.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose full shingle sets are similar enough."""
+    a, b = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
