@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.decontaminate import let
+from tesserae.llm.spans import text_id
 from tesserae.llm.work import small, written
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -36,8 +37,8 @@ MOST_CLASSES, MOST_COMMON = 0.18, 0.45
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, and the histograms c0.. (character classes) and w0.. (common words)."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, tid, lang, the base counts, and the histograms c0.. (character classes) and w0.. (common words)."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("tid"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("words", F.array_remove(F.split("text", _SPACE), ""))
     d = d.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n_words", F.size("words").cast("long"))
     d = d.withColumn("wins", F.when(F.col("n_words") >= 5, F.transform(F.sequence(F.lit(1), F.greatest(F.size("h") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("h", i, 5)))).otherwise(F.array().cast("array<bigint>")))
@@ -61,7 +62,7 @@ def features(docs: DataFrame) -> DataFrame:
         d = d.withColumn(f"w{i}", F.when(listed, F.size("rest" if not i else f"rest{i - 1}") - F.size(f"rest{i}")).otherwise(0).cast("long"))
     d = d.withColumn(f"w{N_COMMON}", F.when(listed, F.col("n_words") - F.col("n_rest")).otherwise(0).cast("long"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *_columns())
+    return d.select("doc_id", "tid", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *_columns())
 
 
 def _columns() -> list[str]:
@@ -97,11 +98,11 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, class_distance, common_distance, base_failed and kept of each document."""
+    """doc_id, tid (of text_id()), the base counts, class_distance, common_distance, base_failed and kept of each document."""
     rows = written(features(docs), "features")
     first = _compared(rows, rows.where("not base_failed"))
     second = _compared(rows, first.where("not base_failed and not diverges"))
-    return second.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("diverges")).alias("kept"), "class_distance", "common_distance")
+    return second.select("doc_id", "tid", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("diverges")).alias("kept"), "class_distance", "common_distance")
 
 
 def _compared(rows: DataFrame, good: DataFrame) -> DataFrame:

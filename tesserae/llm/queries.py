@@ -24,7 +24,7 @@ def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents")).drop("class_distance", "common_distance")
+    return quality.judged(table(spark, sf_dir, "documents")).drop("tid", "class_distance", "common_distance")
 
 
 def removal(df: DataFrame) -> DataFrame:

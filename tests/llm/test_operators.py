@@ -220,7 +220,7 @@ def test_disclosing_terms(spark):
     """A word that stands beside one address in many contexts and hardly elsewhere is found; boilerplate is not."""
     rows = [(i, f"before{i} agent Zanzibar{'' if i % 2 else ','} me@x.org after{i} and zanzibar, again") for i in range(12)]
     rows += [(100 + i, "all rights reserved write to boiler@plate.org for leave") for i in range(30)]
-    rows += [(200 + i, f"the agent number {i} said nothing of note on day {i}") for i in range(60)]
+    rows += [(200 + i, f"the agent number {i} said nothing of note and left on day {i}") for i in range(60)]
     got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
     spans = {r["doc_id"]: r["spans"] for r in got.collect()}
     terms = Counter(s["value"].lower() for x in spans.values() for s in x if s["kind"] == 4)
