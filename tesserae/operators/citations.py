@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.config import DEFAULTS
@@ -48,13 +48,15 @@ def sources(cited: DataFrame) -> DataFrame:
 def format_history(turns: DataFrame, messages: int = DEFAULTS.history_max_messages, chars: int = DEFAULTS.history_max_chars) -> DataFrame:
     """(conv_id, history): the last messages of each conversation, one line each. turns has conv_id, turn, role, text.
 
-    The last turns are kept by an aggregate of bounded size, so a very long conversation is cut down before the shuffle.
+    Each task passes on its last few turns of a conversation only, so a very long one is cut down before the shuffle.
     """
     said = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
     said = F.when(F.length(said) <= chars, said).otherwise(F.concat(F.substring(said, 1, chars), F.lit("…")))
     line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), said)
-    last = F.max_by(F.struct("turn", line.alias("line")), F.col("turn"), messages)
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(last), lambda x: x["line"]), "\n").alias("history"))
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    last = turns.withColumn("_rank", rank).where(F.col("_rank") <= messages)
+    both = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
+    return last.groupBy("conv_id").agg(F.array_join(F.transform(both, lambda x: x["line"]), "\n").alias("history"))
 
 
 # ---------------------------------------------------------------- one answer, on the driver

@@ -247,7 +247,7 @@ _BM25 = (
     f"qe as (select qid, unnest(list_filter(w, lambda x: not list_contains({_STOP}, x))) as t from q), qs as (select distinct qid, {_STEM} as term from qe), "
     "c as (select qid, p.id, sum(case when length(qs.term) >= 3 and regexp_matches(qs.term, '[0-9]') then 3 else 1 end * case when idf < 0 then 0.25 * mean else idf end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score "
     "from qs join f using (term) join p using (term) join l on l.id = p.id, m, a group by 1, 2), "
-    "r as (select *, row_number() over (partition by qid order by score desc, id) as bm25_rank from c where score > 0) "
+    "r as (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as bm25_rank from c where score > 0) "
 )
 
 
