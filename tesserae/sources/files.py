@@ -19,6 +19,10 @@ def topic_files(spark: SparkSession, data_dir: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(data_dir)
     base = spark._jvm.org.apache.hadoop.fs.Path(data_dir)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    empty = _empty_files(spark, base)  # Spark's scan passes over these
+    files = files.select("path", "length", "content")
+    if empty:
+        files = files.unionByName(spark.createDataFrame([(p, 0, b"") for p in empty], "path string, length long, content binary"))
     place = F.regexp_replace(F.substring(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), len(base) + 2, 1 << 20), "^/+", "")
     rows = files.select(F.split(place, "/", 2).alias("p"), "length", "content").where(F.size("p") == 2)
     rows = rows.select(F.col("p")[0].alias("topic_id"), F.col("p")[1].alias("source"), "length", "content").where(F.col("topic_id").rlike("^[a-z0-9_]+$"))
@@ -26,10 +30,21 @@ def topic_files(spark: SparkSession, data_dir: str) -> DataFrame:
     return rows.withColumn("name", name).withColumn("extension", F.regexp_extract("name", r"(\.[^.]+)$", 1)).orderBy("topic_id", "source")
 
 
+def _empty_files(spark: SparkSession, base: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0:
+            out.append(f.getPath().toString())
+    return out
+
+
 def topics(files: DataFrame) -> DataFrame:
     """(id, name, description): from topic.json where there is one."""
     said = files.where((F.col("name") == "topic.json") & (F.col("source") == F.lower("source")) & ~F.contains("source", F.lit("/")))
-    json = F.from_json(F.regexp_replace(F.decode("content", F.lit("UTF-8")), "^﻿", ""), "name string, description string")
+    json = F.from_json(F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""), "name string, description string")
     said = said.select("topic_id", json.alias("j"))
     title = F.initcap(F.replace("topic_id", F.lit("_"), F.lit(" ")))
     out = files.select("topic_id").distinct().join(said, "topic_id", "left")
@@ -45,7 +60,7 @@ def magic(content: Column) -> Column:
 
 def json_kind(content: Column) -> Column:
     """table for a list of objects, at the top or one level down; text for other JSON; null if it is none."""
-    v = F.try_parse_json(F.regexp_replace(F.decode(content, F.lit("UTF-8")), "^﻿", ""))
+    v = F.try_parse_json(F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", ""))
     top = F.schema_of_variant(v)
     return F.when(v.isNull(), None).when(top.rlike("^ARRAY<OBJECT<") | top.rlike("^OBJECT<.*: ARRAY<OBJECT<"), "table").otherwise("text")
 

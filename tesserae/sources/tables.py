@@ -21,6 +21,8 @@ from tesserae.sources.html import decoded
 DELIMITERS, HEAD = ",;\t|", 8192
 #: Spellings of a missing value in a CSV file.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+#: Characters of Windows-1252 where Latin-1, which Spark reads, has controls.
+_CP1252 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -37,13 +39,12 @@ def sniff_delimiter(head: str) -> str:
 
 
 def encoding_of(head: bytes) -> str:
-    for name in ("UTF-8", "windows-1252"):
-        try:
-            head[: len(head) - 4].decode("utf-8-sig" if name == "UTF-8" else "cp1252")
-            return name
-        except UnicodeDecodeError:
-            pass
-    return "ISO-8859-1"
+    """UTF-8 if the head is that, but for a character that its end may cut; else a single-byte encoding."""
+    try:
+        head[: max(0, len(head) - 3)].decode("utf-8")
+        return "UTF-8"
+    except UnicodeDecodeError as e:
+        return "UTF-8" if e.start >= len(head) - 6 and len(head) >= HEAD else "ISO-8859-1"
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -52,14 +53,21 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     sep, enc = sniff_delimiter(decoded(head)), encoding_of(head)
     options = {"sep": sep, "encoding": enc, "header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": True}
     names = spark.read.options(**options).csv(path).columns
+    names = [n.translate(_CP1252) for n in names] if enc == "ISO-8859-1" else names
     names = unique_names([n.lstrip("﻿") for n in (["" if re.fullmatch(r"_c\d+", n) else n for n in names])])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_extra", T.StringType()), T.StructField("_row", T.LongType())])
     raw = spark.read.options(**options).schema(T.StructType(schema.fields[:-1])).csv(path)
     raw = raw.where(F.col("_extra").isNull()).drop("_extra")
     raw = raw.select(*(F.when(~F.col(f"`{n}`").isin(*MISSING), F.col(f"`{n}`")).alias(n) for n in names))
+    if enc == "ISO-8859-1":
+        raw = raw.select(*(F.translate(F.col(f"`{n}`"), *_cp1252_pairs()).alias(n) for n in names))
     return narrowed(raw)
 
 
+def _cp1252_pairs() -> tuple[str, str]:
+    return "".join(map(chr, _CP1252)), "".join(_CP1252.values())
+
+
 def narrowed(df: DataFrame) -> DataFrame:
     """Text columns whose values are all booleans, integers or numbers get that type: one pass over all of them."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -177,7 +185,8 @@ def tidy(df: DataFrame) -> DataFrame:
     """Unique names; rows and columns without any value go, as do nameless counters; nested values become JSON text."""
     df = df.toDF(*unique_names(df.columns))
     nested = {f.name: F.to_json(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))}
-    df = (df.withColumns(nested) if nested else df).dropna("all")
+    df = df.withColumns(nested) if nested else df
+    df = df.where(F.coalesce(*(F.col(f"`{c}`").cast("string") for c in df.columns)).isNotNull()) if df.columns else df
     checks = [F.max(F.col(f"`{c}`").isNotNull()).alias(f"c{i}") for i, c in enumerate(df.columns)]
     counters = [(i, c) for i, (c, t) in enumerate(df.dtypes) if t in ("int", "bigint") and (c.startswith("Unnamed") or re.fullmatch(r"column(_\d+)?", c))]
     checks += [F.struct(F.min(f"`{c}`").alias("low"), F.max(f"`{c}`").alias("high"), F.count(f"`{c}`").alias("n"), F.count_distinct(f"`{c}`").alias("d")).alias(f"k{i}") for i, c in counters]
