@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.spans import cut, text_id
-from tesserae.llm.textbytes import U64, byte_values, list_array, mix, prefix_hash, range_hash, text_slices
+from tesserae.llm.textbytes import U64, byte_values, mix, prefix_hash, range_hash, text_slices
 from tesserae.llm.work import written
 
 #: Bytes of an anchor, fragments of a block, and fragments of a core beyond which windows are counted by hash.
@@ -135,6 +135,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_id().alias("tid"), "text").mapInArrow(rows, "doc_id long, tid long, start long, d int, n int, key long, full long")
 
 
+_RUNS = "array<struct<a:int,b:int>>"
 _FRAGMENT = "key long, full long, d int, n int, copies long, hot boolean, fragment binary, windows array<long>"
 
 
@@ -167,7 +168,7 @@ def _fragments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def _by_order(fragments: DataFrame, length: int) -> DataFrame:
-    """(key, full, d, n, found array<int>): places of the repeated windows, by rounds over blocks of whole groups."""
+    """(key, full, d, n, found): runs of repeated windows (first, last), by rounds over blocks of whole groups."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(held: list) -> pa.RecordBatch:
@@ -175,12 +176,12 @@ def _by_order(fragments: DataFrame, length: int) -> DataFrame:
             key = np.array([r[0] for r in held])
             d, n = np.array([r[2] for r in held]), np.array([r[3] for r in held])
             found = repeated_columns(key, d, n, [r[5] for r in held], length)
-            places = [np.arange(k) if r[4] > 1 else np.flatnonzero(f) for r, f, k in zip(held, found, n.tolist())]
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in places])])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array([r[1] for r in held], pa.int64()), pa.array(d, pa.int32()), pa.array(n, pa.int32()), list_array(np.concatenate(places).astype(np.int32), ends, pa.int32())],
-                ["key", "full", "d", "n", "found"],
-            )
+            edges = [np.array([0, k]) if r[4] > 1 else np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]]))) for r, f, k in zip(held, found, n.tolist())]
+            ends = np.concatenate([[0], np.cumsum([len(e) // 2 for e in edges])])
+            flat = np.concatenate(edges).astype(np.int32)
+            ranges = pa.StructArray.from_arrays([pa.array(flat[::2]), pa.array(flat[1::2] - 1)], ["a", "b"])
+            found = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ranges)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array([r[1] for r in held], pa.int64()), pa.array(d, pa.int32()), pa.array(n, pa.int32()), found], ["key", "full", "d", "n", "found"])
 
         held: list = []
         for batch in batches:
@@ -193,7 +194,7 @@ def _by_order(fragments: DataFrame, length: int) -> DataFrame:
             yield solved(held)
 
     ordered = fragments.select("key", "full", "d", "n", "copies", "fragment").repartition("key").sortWithinPartitions("key", "full")
-    return ordered.mapInArrow(rows, "key long, full long, d int, n int, found array<int>")
+    return ordered.mapInArrow(rows, f"key long, full long, d int, n int, found {_RUNS}")
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
@@ -214,19 +215,22 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     windows = fragments.where("hot").select("key", "full", "d", "n", "copies", F.posexplode("windows").alias("i", "w"))
     windows = windows.dropDuplicates(["key", "full", "d", "n", "i"]).withColumn("place", F.col("d") - F.col("i"))
     twice = windows.groupBy("key", "place", "w").agg(F.sum("copies").alias("times")).where("times > 1").select("key", "place", "w")
-    counted = windows.join(twice, ["key", "place", "w"]).groupBy("key", "full", "d", "n").agg(F.collect_list("i").alias("found"))
+    counted = windows.join(twice, ["key", "place", "w"]).groupBy("key", "full", "d", "n").agg(_ranges(F.array_sort(F.collect_list("i"))).cast(_RUNS).alias("found"))
 
     found = written(ordered.unionByName(counted), "found")
-    ranges = mixed.join(found, ["key", "full", "d", "n"]).select("doc_id", "tid", "start", F.explode(_ranges("found")).alias("r"))
+    ranges = mixed.join(found, ["key", "full", "d", "n"]).select("doc_id", "tid", "start", F.explode("found").alias("r"))
     return whole.unionByName(ranges.select("doc_id", "tid", (F.col("start") + F.col("r.a")).alias("start"), (F.col("start") + F.col("r.b") + length).alias("end")))
 
 
-def _ranges(column: str):
-    """Runs of consecutive places, as structs of the first and the last."""
-    x = F.array_sort(column)
-    first = F.filter(x, lambda v: ~F.array_contains(x, v - 1))
-    last = F.filter(x, lambda v: ~F.array_contains(x, v + 1))
-    return F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+def _ranges(places: Column) -> Column:
+    """Runs of consecutive places of a sorted array, as structs of the first and the last."""
+
+    def runs(x: Column) -> Column:
+        first = F.filter(x, lambda v, i: (i == 0) | (F.get(x, i - 1) != v - 1))
+        last = F.filter(x, lambda v, i: (i == F.size(x) - 1) | (F.get(x, i + 1) != v + 1))
+        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    return F.transform(F.array(places), runs)[0]
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
