@@ -72,5 +72,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     all_ = written(chunks(docs), "chunks")
     place = F.struct("doc_id", "tid", "start")
     first = all_.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    first = written(first, "first")  # a table of its own, so that Spark can split the join's exchange by size
     spans = all_.join(first, ["d1", "d2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "tid", "start", "end")
     return cut(docs, spans)
