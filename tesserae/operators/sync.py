@@ -147,7 +147,7 @@ def fingerprint(chunks: DataFrame) -> str:
     return hashlib.sha1(f"{rows['n']}:{rows['s']}:{rows['x']}".encode()).hexdigest()
 
 
-def ordered_fingerprint(chunks: DataFrame) -> DataFrame:
-    """(fingerprint): SHA-1 over `id:hash;` in id order. The whole list meets in one row, so it is for small topics."""
+def ordered_fingerprint(chunks: DataFrame, *by: str) -> DataFrame:
+    """(by, fingerprint): SHA-1 over `id:hash;` in id order. A topic's list meets in one row; fingerprint() has no such bound."""
     item = F.struct("id", F.concat(F.col("id").cast("string"), F.lit(":"), "content_hash", F.lit(";")).alias("item"))
-    return chunks.agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]), "").cast("binary")).alias("fingerprint"))
+    return chunks.groupBy(*by).agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]), "").cast("binary")).alias("fingerprint"))

@@ -71,11 +71,10 @@ def tq_median(spark, sf_dir):
     return calculated(read(spark, sf_dir, "lineitem"), "median", "l_extendedprice", places=4)
 
 
-@query("select strftime(min(l_shipdate), '%Y-%m-%d') as low, strftime(max(l_shipdate), '%Y-%m-%d') as high from lineitem")
+@query("select 'min' as op, strftime(min(l_shipdate), '%Y-%m-%d') as value from lineitem union all select 'max', strftime(max(l_shipdate), '%Y-%m-%d') from lineitem")
 def tq_min_max_date(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem")
-    low, high = (calculated(df, op, "l_shipdate").select(F.col("value").cast("date").cast("string").alias(name)) for op, name in (("min", "low"), ("max", "high")))
-    return low.crossJoin(F.broadcast(high))  # one row each
+    return _union([calculated(df, op, "l_shipdate").select(F.lit(op).alias("op"), F.col("value").cast("date").cast("string").alias("value")) for op in ("min", "max")])
 
 
 _NUMERIC = (("==", 17), ("!=", 17), (">", 40), (">=", 40), ("<", 5), ("<=", 5))
@@ -243,7 +242,7 @@ _BM25 = (
     "with " + _TERMS + ", p as (select id, term, count(*) as tf from s group by 1, 2), l as (select id, count(*) as dl from s group by 1), "
     "n as (select count(*) as n from documents), a as (select (select count(*) from s) / (select n from n) as avgdl), "
     "f as (select term, ln(n.n - count(*) + 0.5) - ln(count(*) + 0.5) as idf from p, n group by term, n.n), m as (select avg(idf) as mean from f), "
-    "q as (select item_id as qid, " + _TOKENS.replace("@", "regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g')") + " as w from benchmark where item_id < 20), "
+    "q as (select item_id as qid, " + _TOKENS.replace("@", "regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g')") + " as w from benchmark), "
     f"qe as (select qid, unnest(list_filter(w, lambda x: not list_contains({_STOP}, x))) as t from q), qs as (select distinct qid, {_STEM} as term from qe), "
     "c as (select qid, p.id, sum(case when length(qs.term) >= 3 and regexp_matches(qs.term, '[0-9]') then 3 else 1 end * case when idf < 0 then 0.25 * mean else idf end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score "
     "from qs join f using (term) join p using (term) join l on l.id = p.id, m, a group by 1, 2), "
@@ -253,12 +252,12 @@ _BM25 = (
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     index = retrieval.KeywordIndex.build(read(spark, sf_dir, "documents"), "doc_id")
-    return index.search(read(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("qid"), "text"), k)
+    return index.search(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), k)
 
 
 @query(_BM25 + "select qid, id, round(score, 4) as score, bm25_rank from r where bm25_rank <= 10")
 def bm25_topk(spark, sf_dir):
-    """The ten best documents for each of the first twenty benchmark questions."""
+    """The ten best documents for each benchmark question."""
     return _bm25(spark, sf_dir, 10).select("qid", "id", F.round("score", 4).alias("score"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
 
 
@@ -288,34 +287,44 @@ def dense_topk_per_topic(spark, sf_dir):
     return near.select("label", "vec_id", "dense_rank")
 
 
-_LENGTH_LEG = "z as (select item_id as qid, doc_id as id, row_number() over (partition by item_id order by abs(d.n_chars - length(b.text)), doc_id) as dense_rank from benchmark b, documents d where item_id < 20 qualify dense_rank <= 24)"
+_GRAMS = "case when len(w) <= 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end"
+_SHARED = (
+    "gw as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as w from benchmark), ga as (select item_id, " + _GRAMS + " as g from gw), "
+    "gd as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as w from documents), gb as (select doc_id, " + _GRAMS + " as g from gd), "
+    "gx as (select item_id, len(g) as n, unnest(g) as x from ga), gy as (select doc_id, len(g) as n, unnest(g) as x from gb), "
+    "shared as (select item_id, doc_id, any_value(gx.n) + any_value(gy.n) as n, count(*) as k from gx join gy using (x) group by 1, 2)"
+)
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, doc_id, n, k): word 3-grams of a benchmark text and a document, in sum and in common. An equi-join on the grams."""
+    a = read(spark, sf_dir, "benchmark").select("item_id", T.shingles(F.col("text")).alias("g")).select("item_id", F.size("g").alias("na"), F.explode("g").alias("x"))
+    b = read(spark, sf_dir, "documents").select("doc_id", T.shingles(F.col("text")).alias("g")).select("doc_id", F.size("g").alias("nb"), F.explode("g").alias("x"))
+    return a.join(b, "x").groupBy("item_id", "doc_id").agg(F.max(F.col("na") + F.col("nb")).alias("n"), F.count("*").alias("k"))
 
 
 @query(
-    _BM25 + f", {_LENGTH_LEG}, u as (select coalesce(z.qid, r.qid) as qid, coalesce(z.id, r.id) as id, dense_rank, bm25_rank, coalesce(1 / (60 + dense_rank), 0) + coalesce(1 / (60 + bm25_rank), 0) as score "
+    _BM25 + ", " + _SHARED + ", z as (select item_id as qid, doc_id as id, row_number() over (partition by item_id order by k desc, doc_id) as dense_rank from shared qualify dense_rank <= 24), "
+    "u as (select coalesce(z.qid, r.qid) as qid, coalesce(z.id, r.id) as id, dense_rank, bm25_rank, coalesce(1 / (60 + dense_rank), 0) + coalesce(1 / (60 + bm25_rank), 0) as score "
     "from z full join (select * from r where bm25_rank <= 24) r on z.qid = r.qid and z.id = r.id) "
     "select qid, id, dense_rank, bm25_rank, round(score, 8) as score, row_number() over (partition by qid order by score desc, coalesce(dense_rank, 1000000000), id) as rank from u qualify rank <= 6"
 )
 def rrf_fuse(spark, sf_dir):
-    """BM25 fused with a second ranking (by how near the lengths are), as both legs of a hybrid search."""
-    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").where("item_id < 20")
-    asked = items.select(F.col("item_id").alias("qid"), F.length("text").alias("n"))
-    gap = F.abs(F.col("n_chars") - F.col("n"))
-    near = docs.select(F.col("doc_id").alias("id"), "n_chars").crossJoin(F.broadcast(asked)).withColumn("distance", gap.cast("double"))  # twenty questions
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
-    near = near.withColumn("dense_rank", rank).where(F.col("dense_rank") <= 24)
+    """BM25 fused with a second ranking (by shared word 3-grams), as both legs of a hybrid search."""
+    near = _shared(spark, sf_dir).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("id"), (-F.col("k")).cast("double").alias("distance"))
+    near = near.withColumn("dense_rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("dense_rank") <= 24)
     out = retrieval.fuse(near, _bm25(spark, sf_dir, 24), 6)
     long_ = lambda c: F.col(c).cast("long").alias(c)
     return out.select("qid", "id", long_("dense_rank"), long_("bm25_rank"), F.round("score", 8).alias("score"), long_("rank"))
 
 
 @query(
-    "with h as (select doc_id as id, lang as topic_id, n_chars as list_pos, row_number() over (partition by lang order by n_chars, doc_id) as topic_rank from documents where n_chars > 3000), "
+    "with h as (select doc_id as id, lang as topic_id, n_chars as list_pos, row_number() over (partition by lang order by n_chars, doc_id) as topic_rank from documents), "
     "o as (select *, dense_rank() over (order by topic_id) as topic_order from h) select id, topic_id, topic_rank, row_number() over (order by 1.0 / (60 + topic_rank) desc, topic_order, id) as merged_rank from o qualify merged_rank <= 40"
 )
 def cross_topic_merge(spark, sf_dir):
     """Documents of several topics interleaved by their rank in each topic."""
-    docs = read(spark, sf_dir, "documents").where("n_chars > 3000")
+    docs = read(spark, sf_dir, "documents")
     order = Window.partitionBy("lang").orderBy("n_chars", "doc_id")
     hits = docs.select(F.lit(0).alias("qid"), F.col("doc_id").alias("id"), F.col("lang").alias("topic_id"), F.row_number().over(order).alias("list_pos"), F.lit(0.0).alias("score"), F.lit(0.0).alias("distance"), F.lit(1).alias("bm25_rank")).where("list_pos <= 40")
     topics = docs.select(F.col("lang").alias("topic_id")).distinct().withColumn("topic_order", F.dense_rank().over(Window.orderBy("topic_id")))
@@ -323,21 +332,11 @@ def cross_topic_merge(spark, sf_dir):
     return merged.where("merged_rank <= 40").select("id", "topic_id", F.col("topic_rank").cast("long").alias("topic_rank"), F.col("merged_rank").cast("long").alias("merged_rank"))
 
 
-_GRAMS = "case when len(w) <= 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end"
-
-
-@query(
-    f"with w as (select item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as w from benchmark), g as (select item_id, {_GRAMS} as g from w), d as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as w from documents), "
-    f"dg as (select doc_id, {_GRAMS} as g from d), a as (select item_id, len(g) as n, unnest(g) as x from g), b as (select doc_id, len(g) as n, unnest(g) as x from dg), "
-    "p as (select item_id, doc_id, any_value(a.n) + any_value(b.n) as n, count(*) as k from a join b using (x) group by 1, 2) select item_id, doc_id, round(k / (n - k), 6) as jaccard from p where k / (n - k) >= 0.1"
-)
+@query("with " + _SHARED + " select item_id, doc_id, round(k / (n - k), 6) as jaccard from shared where k / (n - k) >= 0.1")
 def shingle_jaccard_pairs(spark, sf_dir):
-    """Benchmark texts and documents that share word 3-grams: an equi-join on the grams, then the exact similarity."""
-    a = read(spark, sf_dir, "benchmark").select("item_id", T.shingles(F.col("text")).alias("g")).select("item_id", F.size("g").alias("na"), F.explode("g").alias("x"))
-    b = read(spark, sf_dir, "documents").select("doc_id", T.shingles(F.col("text")).alias("g")).select("doc_id", F.size("g").alias("nb"), F.explode("g").alias("x"))
-    both = a.join(b, "x").groupBy("item_id", "doc_id").agg(F.max(F.col("na") + F.col("nb")).alias("n"), F.count("*").alias("k"))
+    """Benchmark texts and documents that share word 3-grams, and their similarity."""
     j = F.col("k") / (F.col("n") - F.col("k"))
-    return both.where(j >= 0.1).select("item_id", "doc_id", F.round(j, 6).alias("jaccard"))
+    return _shared(spark, sf_dir).where(j >= 0.1).select("item_id", "doc_id", F.round(j, 6).alias("jaccard"))
 
 
 @query()
@@ -408,10 +407,10 @@ def sync_diff(spark, sf_dir):
     return sync.diff(old, new, spark.createDataFrame([("src1",), ("src2",)], "source string")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("select sha1(string_agg(doc_id || ':' || sha1(text) || ';', '' order by doc_id)) as fingerprint from documents where source = 'src3'")
+@query("select source, sha1(string_agg(doc_id || ':' || sha1(text) || ';', '' order by doc_id)) as fingerprint from documents group by source")
 def fingerprint(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("source = 'src3'").select(F.col("doc_id").alias("id"), F.sha1(F.col("text").cast("binary")).alias("content_hash"))
-    return sync.ordered_fingerprint(docs)
+    docs = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.sha1(F.col("text").cast("binary")).alias("content_hash"))
+    return sync.ordered_fingerprint(docs, "source")
 
 
 # ---------------------------------------------------------------- chat, citations, evaluation
@@ -441,19 +440,20 @@ def citation_strip(spark, sf_dir):
     return out.select("conv_id", "turn", (F.size("valid") > 0).alias("valid"), F.length("clean_text").cast("long").alias("n"))
 
 
-_LABELS = "l as (select item_id as qid, item_id as label, 'en' as topic, 'src' || (item_id % 20) as source from benchmark), r as (select item_id as qid, d.doc_id as pos_id, row_number() over (partition by item_id order by d.doc_id) as pos, lang as topic, source from benchmark, documents d where d.doc_id % 40 = item_id % 40)"
+_LABELS = "l as (select item_id as qid, item_id as label, 'en' as topic, 'src' || (item_id % 20) as source from benchmark), r as (select item_id as qid, row_number() over (partition by item_id order by k desc, doc_id) as pos, lang as topic, source from shared join documents using (doc_id))"
 
 
 @query(
-    f"with {_LABELS}, m as (select r.qid, count(distinct pos) as hits, count(distinct label) as found from r join l on r.qid = l.qid and r.topic = l.topic and r.source = l.source where pos <= 6 group by 1), "
-    "c as (select qid, count(*) as considered from r where pos <= 6 group by 1) select l.qid, round(coalesce(hits, 0) / considered, 6) as precision, coalesce(found, 0)::double as recall, considered from l join c using (qid) left join m using (qid)"
+    f"with {_SHARED}, {_LABELS}, m as (select r.qid, count(distinct pos) as hits, count(distinct label) as found from r join l on r.qid = l.qid and r.topic = l.topic and r.source = l.source where pos <= 6 group by 1), "
+    "c as (select qid, count(*) as considered from r where pos <= 6 group by 1) select l.qid, round(coalesce(coalesce(hits, 0) / considered, 0), 6) as precision, coalesce(found, 0)::double as recall, coalesce(considered, 0) as considered from l left join c using (qid) left join m using (qid)"
 )
 def retrieval_metrics(spark, sf_dir):
-    items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
-    labels = items.select(F.col("item_id").alias("qid"), F.col("item_id").alias("label"), F.lit("en").alias("topic"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("contains"))
-    asked = items.select(F.col("item_id").alias("qid"), (F.col("item_id") % 40).alias("m"))
-    got = docs.select("doc_id", (F.col("doc_id") % 40).alias("m"), F.col("lang").alias("topic"), "source", "text").join(asked, "m")
-    got = got.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).withColumn("page", F.lit(None).cast("int"))
+    """The first six documents for each benchmark text, against one label each."""
+    none = lambda t: F.lit(None).cast(t)
+    labels = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("item_id").alias("label"), F.lit("en").alias("topic"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), none("int").alias("page"), none("string").alias("contains"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("topic"), "source", "text")
+    got = _shared(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("k"), "doc_id"))).where("pos <= 6")
+    got = got.select(F.col("item_id").alias("qid"), "doc_id", "pos").join(docs, "doc_id").withColumn("page", none("int"))
     return metrics.score_retrieval(got, labels, 6).select("qid", F.round("precision", 6).alias("precision"), "recall", "considered")
 
 
