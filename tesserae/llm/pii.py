@@ -122,10 +122,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     found = plain.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
-    terms = written(disclosing_terms(plain, found), "terms").withColumnRenamed("doc_id", "_of").withColumnRenamed("terms", "_terms")
-    out = docs.drop("base", "spans").withColumn("base", base_spans(text)).join(small(terms), F.col("doc_id").cast("long") == F.col("_of"), "left")
-    more = F.when(F.col("_terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", _term_spans(text, F.col("_terms"), F.col("base")))))
-    return out.withColumn("spans", more).drop("_of", "_terms")
+    terms = written(disclosing_terms(plain, found), "terms").withColumnRenamed("doc_id", "__of").withColumnRenamed("terms", "__terms")
+    out = docs.drop("base", "spans").withColumn("base", base_spans(text)).join(small(terms), F.col("doc_id").cast("long") == F.col("__of"), "left")
+    more = F.when(F.col("__terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", _term_spans(text, F.col("__terms"), F.col("base")))))
+    return out.withColumn("spans", more).drop("__of", "__terms")
 
 
 def listed(spans: Column) -> Column:
