@@ -1,16 +1,17 @@
 """Repeated passages by content-defined chunking.
 
-A gear rolling hash over each text's bytes marks borders where its top bits are zero and no mark lies within the
-MIN bytes before, so that a border depends on some bytes around it alone and insertions shift no chunk but their own.
-A stretch of over MOST bytes without a border is cut every MOST bytes. Of all chunks with one 128-bit digest the first,
-by doc_id and place, stays; the others are removed.
+A border stands where the gear rolling hash of the text's bytes is the largest within REACH bytes on both sides. So
+borders lie more than REACH bytes apart, about twice that on average, and each depends on some bytes around it alone:
+an insertion shifts no chunk but its own, and a passage of 50 words holds whole chunks wherever it stands. A stretch of
+over MOST bytes without a border is cut every MOST bytes. Of all chunks with one 128-bit digest the first, by doc_id
+and place, stays; the others are removed.
 
 The first chunk of a digest is found by a minimum that is summed up before the shuffle, and goes back by a join on the
 digest, which Spark splits if one chunk has very many rows.
 
-Defined results: a null text is empty; chunks under MIN bytes are never removed; borders lie between characters; rows
-alike in doc_id and text are one document; an empty table gives no rows; other columns, whatever their names, are not
-read.
+Defined results: a null text is empty; chunks of REACH bytes or fewer, at a text's ends, are never removed; borders lie
+between characters; rows alike in doc_id and text are one document; an empty table gives no rows; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,17 +26,23 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.gear import gear_hash
 from tesserae.llm.spans import cut, text_id
-from tesserae.llm.textbytes import text_slices
+from tesserae.llm.textbytes import sliding_max, text_slices
 from tesserae.llm.work import written
 
-#: Least and most bytes of a chunk; top bits of the hash that are zero at a border (one in 2**BITS bytes).
-MIN, MOST, BITS = 32, 1024, 6
+#: Bytes on each side over which a border's hash is the largest, and most bytes of a chunk.
+REACH, MOST = 28, 1024
 
 
 def borders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of all chunks; every row of one byte or more has one at least."""
-    marks = np.flatnonzero(gear_hash(data, offsets) >> np.uint32(32 - BITS) == 0) + 1
-    marks = marks[np.diff(marks, prepend=-MIN) >= MIN]
+    marks = np.zeros(0, np.int64)
+    if len(data) > 2 * REACH:
+        h = gear_hash(data, offsets)
+        key = h.astype(np.uint64) << np.uint64(32) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the last
+        at = np.flatnonzero(sliding_max(key, 2 * REACH + 1) == key[REACH:-REACH]) + REACH
+        row = np.searchsorted(offsets, at, "right") - 1
+        inside = (at - offsets[row] >= REACH + 31) & (offsets[row + 1] - at > REACH)  # all that decides is the row's own
+        marks = at[inside] + 1
     first_byte = np.concatenate([np.flatnonzero(data & 0xC0 != 0x80), [len(data)]])
     marks = first_byte[np.searchsorted(first_byte, marks)]
     edges = np.unique(np.concatenate([marks, offsets]))
@@ -48,13 +55,13 @@ def borders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, start, end, d1, d2) of each chunk of MIN bytes or more."""
+    """(doc_id, tid, start, end, d1, d2) of each chunk of more than REACH bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in text_slices(batch, "text"):
                 s, e = borders(data, offsets)
-                big = e - s >= MIN
+                big = e - s > REACH
                 s, e = s[big], e[big]
                 row = np.searchsorted(offsets, s, "right") - 1
                 raw = data.tobytes()

@@ -142,3 +142,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
 
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+
+
+def sliding_max(x: np.ndarray, w: int) -> np.ndarray:
+    """The largest of each w neighbours, by prefix and suffix maxima of blocks (van Herk)."""
+    n = len(x)
+    padded = np.zeros(-(-n // w) * w, x.dtype)
+    padded[:n] = x
+    rows = padded.reshape(-1, w)
+    up = np.maximum.accumulate(rows, axis=1).ravel()
+    down = np.maximum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.maximum(down[: n - w + 1], up[w - 1 : n])
