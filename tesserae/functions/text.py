@@ -122,8 +122,7 @@ def stem(t: Column) -> Column:
 def keyword_tokens(c: Column) -> Column:
     """Tokens for keyword search: camelCase parted, stop words dropped, plurals stripped."""
     parted = F.regexp_replace(F.coalesce(c, F.lit("")), "(?<=[a-z])(?=[A-Z])", " ")
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.transform(F.filter(tokens(parted), lambda t: ~F.array_contains(stop, t)), stem)
+    return F.transform(F.filter(tokens(parted), lambda t: ~t.isin(*STOPWORDS)), stem)
 
 
 def question_tokens(c: Column, boost: int = DEFAULTS.id_boost) -> Column:
