@@ -54,7 +54,7 @@ class WordMemo:
 @lru_cache(1)
 def byte_level(path: str) -> WordMemo:
     """For byte-level BPE whose pattern puts at most one space before a word, and never goes from a word into a space."""
-    return WordMemo(path)
+    return WordMemo(path, 500_000)
 
 
 def byte_level_words(text: str) -> list[str]:
