@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
 from functools import lru_cache
 
-_TWO_SPACES = re.compile(r"\s\s")
+#: White space other than the space and the line end, and pairs of these two.
+_OTHER_SPACE = [chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000) if c != 10]
+_SLOW = ["\0", *_OTHER_SPACE, "  ", "\n\n", " \n", "\n "]
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?=\s)")
 
 
@@ -32,9 +35,17 @@ class WordMemo:
         return array("I", ids).tobytes()
 
     def encode(self, words: list[str]) -> list:
-        """The value of each word."""
+        """The value of each word. Python's search for cycles is off meanwhile: nothing here makes any, and it is costly."""
+        gc.disable()
+        try:
+            return self._encode(words)
+        finally:
+            gc.enable()
+
+    def _encode(self, words: list[str]) -> list:
         new = self.new
-        missing = set(words).difference(new)
+        out = list(map(new.get, words))
+        missing = {w for w, v in zip(words, out) if v is None}
         if missing:
             old, todo = self.old, []
             for w in missing:
@@ -45,7 +56,7 @@ class WordMemo:
                     new[w] = v
             for w, e in zip(todo, self.library.encode_batch_fast(todo, add_special_tokens=False)):
                 new[w] = self.value(e.ids)
-        out = [new[w] for w in words]
+            out = [new[w] if v is None else v for w, v in zip(words, out)]
         if len(new) > self.most:
             self.old, self.new = new, {"": self.value([])}
         return out
@@ -59,6 +70,6 @@ def byte_level(path: str) -> WordMemo:
 
 def byte_level_words(text: str) -> list[str]:
     """Cut before spaces only, where no token of such a pattern can cross; the pieces concatenate to the text."""
-    if "\0" not in text and not _TWO_SPACES.search(text):
+    if not any(x in text for x in _SLOW):
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
     return _BEFORE_SPACE.split(text)
