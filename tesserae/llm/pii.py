@@ -4,15 +4,18 @@ Base spans are the leftmost matches, without overlap, of one pattern for each ki
 test are dropped. A protected entity is a kind with the matched value. Following Sanchez and Batet (2016), a term t
 discloses an entity e if its pointwise mutual information with e reaches the share ALPHA of e's information content,
 that is n(t, e) / n(t) >= (n(e) / N) ** (1 - ALPHA). N counts documents and n(t) documents with t, over the whole
-table; n(e) and n(t, e) count distinct contexts, the WINDOW words on each side of e, so that copies of a document and
-boilerplate around an address count once; at least SUPPORT of them must hold t beside e. In a document with e, every
-such t gets a span of kind `term`; terms are generalised or removed with the personal data.
+table, n(e) those with e, and n(t, e) those with both, wherever t stands. Copies of a text count once, and so do
+documents with e where t stands between the same BESIDE words on each side, so that boilerplate and near copies are no
+evidence of their own. No least number of documents is asked for; instead the chance that so many of the documents
+with t hold e if the two are independent, times the number of terms of e's documents, must be LEVEL at most. An
+entity of one document is so disclosed by the words of that document alone, once the table is large enough. In a
+document with e, every such t gets a span of kind `term`; terms are generalised or removed with the personal data.
 
 The patterns equal the plain ones in what they match, but never scan a run of characters twice (possessive, and only
 from a run's start or the end of the last match), so long runs cost no more than their length.
 
 Defined results: a null text is empty; whole texts of any length are searched; offsets are code points, ends
-exclusive; rows with one doc_id share their terms; a null doc_id has no terms; an empty table gives no rows; other
+exclusive; words are the lower-cased text between spaces, told apart by 64-bit hashes; rows with one doc_id share their terms; a null doc_id has no terms; an empty table gives no rows; other
 columns, whatever their names, are not read.
 """
 
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.decontaminate import let, words
+from tesserae.llm.spans import text_id
 from tesserae.llm.work import small, written
 
 _LOCAL, _DOMAIN = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]++"
@@ -32,7 +36,7 @@ KINDS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){11}+"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
-ALPHA, SUPPORT, WINDOW, REACH = 0.9, 5, 3, 200
+ALPHA, LEVEL, BESIDE = 0.9, 0.01, 2
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -91,23 +95,46 @@ def base_spans(text: Column) -> Column:
     return F.when(F.size(both) > 1, F.array_sort(both)).otherwise(both)
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, terms array): in each document the terms that disclose one of its entities. found: doc_id, text, base."""
-    one = found.where("doc_id is not null").select("doc_id", "text", F.explode("base").alias("s"))
-    before = F.substring(F.col("text"), F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH)))
-    after = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(REACH))
-    near = F.concat(F.reverse(F.slice(F.reverse(words(before)), 1, WINDOW)), F.slice(words(after), 1, WINDOW))
-    entity = F.concat(F.col("s.kind").cast("string"), F.lit(":"), F.lower("s.value"))
-    seen = written(one.select("doc_id", entity.alias("entity"), F.filter(near, lambda w: F.length(w) > 1).alias("near")), "contexts")
-    contexts = seen.select("entity", "near").distinct()
-    size = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    pairs = contexts.select("entity", F.explode(F.array_distinct("near")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    pairs = written(pairs.join(size, "entity"), "pairs")
-    terms = pairs.select("term").distinct()
-    used = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n = docs.count()
-    told = pairs.join(used, "term").where(F.col("n_te") / F.col("n_t") >= F.pow(F.col("n_e") / F.lit(float(max(n, 1))), F.lit(1 - ALPHA)))
-    return seen.select("doc_id", "entity").distinct().join(told.select("entity", "term"), "entity").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+def _hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
+def _places_of_terms(masked: Column) -> Column:
+    """Array of (t, c): the hash of each word, and of the BESIDE words on each side of it."""
+    sides = [j for j in range(-BESIDE, BESIDE + 1) if j]
+    return let(_hashes(masked), lambda h: F.transform(h, lambda t, i: F.struct(t.alias("t"), F.xxhash64(*(F.when(i + j >= 0, F.get(h, i + j)) for j in sides)).alias("c"))))
+
+
+def _log_chance(k: Column, draws: Column, share: Column) -> Column:
+    """Upper bound (Hoeffding) of the log of the chance that k or more of so many draws hit what has this share of all; for k over its mean."""
+    a = k / draws
+    return -draws * (a * F.ln(a / share) + F.when(a < 1, (1 - a) * F.ln((1 - a) / (1 - share))).otherwise(0.0))
+
+
+def disclosing_terms(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """(doc_id, terms array of hashes): for each document the terms that disclose one of its entities.
+
+    docs: doc_id, text, tid. seen: doc_id, tid, entities and masked (the text without them) of those with an entity.
+    """
+    copies = written(docs.groupBy("tid").agg(F.count("*").alias("copies")), "copies")
+    n = copies.count()
+    own = seen.select("tid", F.explode("entities").alias("entity"), F.size(F.array_distinct(_hashes(F.col("masked")))).alias("n_terms")).groupBy("entity", "tid").agg(F.max("n_terms").alias("n_terms"))
+    sizes = own.groupBy("entity").agg(F.count("*").alias("n_e"), F.sum("n_terms").alias("n_tests"))
+    sizes = written(sizes.withColumn("least", F.pow(F.col("n_e") / F.lit(float(max(n, 1))), F.lit(1 - ALPHA))).withColumn("most", F.col("n_e") / F.col("least") + 1), "entities")
+    most = sizes.agg(F.max("most")).first()[0] or 0.0  # a term in more documents than that discloses nothing
+    once = docs.join(small(copies.where("copies > 1")), "tid", "left").select(F.explode(F.array_distinct(_hashes(F.col("text")))).alias("t"), (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    used = written(once.groupBy("t").agg(F.round(F.sum("weight")).cast("long").alias("n_t")), "used")
+    often = used.where(F.col("n_t") > max(most, n / 100)).select("t")  # few; they would all meet in a few tasks
+    places = seen.select("tid", F.inline(_places_of_terms(F.col("masked")))).join(small(often), "t", "left_anti").join(used.where(F.col("n_t") <= most), "t")
+    met = places.join(small(seen.select("tid", F.explode("entities").alias("entity")).distinct()), "tid").join(small(sizes), "entity").where("n_t <= most")
+    pairs = met.groupBy("entity", "t").agg(F.count_distinct("tid").alias("both"), F.count_distinct("c").alias("n_c"), *(F.max(c).alias(c) for c in ("n_t", "n_e", "n_tests", "least")))
+    pairs = pairs.withColumn("n_te", F.least("both", "n_c")).withColumn("n_t", F.col("n_t") - F.col("both") + F.col("n_te"))
+    te, t, e = F.col("n_te"), F.col("n_t"), F.col("n_e")
+    chance = F.least(_log_chance(te, t, e / n), F.when(te / e > t / n, _log_chance(te, e, t / n)))
+    told = pairs.where((te / t >= F.col("least")) & (te / t > e / n) & (chance + F.ln("n_tests") <= F.ln(F.lit(LEVEL))))
+    told = written(told.select("entity", "t"), "told")
+    of = seen.where("doc_id is not null").select("doc_id", F.explode("entities").alias("entity")).distinct()
+    return of.join(small(told), "entity").groupBy("doc_id").agg(F.array_sort(F.collect_set("t")).alias("terms"))
 
 
 def _term_spans(text: Column, terms: Column, base: Column) -> Column:
@@ -120,12 +147,17 @@ def _term_spans(text: Column, terms: Column, base: Column) -> Column:
 def personal_data(docs: DataFrame) -> DataFrame:
     """docs' columns, with `base` and `spans` (arrays of start, kind, end, value) in place of any columns of those names."""
     text = F.coalesce("text", F.lit(""))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_id().alias("tid"))
     found = plain.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
-    terms = written(disclosing_terms(plain, found), "terms").withColumnRenamed("doc_id", "__of").withColumnRenamed("terms", "__terms")
-    out = docs.drop("base", "spans").withColumn("base", base_spans(text)).join(small(terms), F.col("doc_id").cast("long") == F.col("__of"), "left")
-    more = F.when(F.col("__terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", _term_spans(text, F.col("__terms"), F.col("base")))))
-    return out.withColumn("spans", more).drop("__of", "__terms")
+    entities = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))))
+    seen = written(found.select("doc_id", "tid", entities.alias("entities"), sanitised(F.col("text"), F.col("base")).alias("masked")), "seen")
+    terms = written(disclosing_terms(plain, seen), "terms").withColumnRenamed("doc_id", "__of").withColumnRenamed("terms", "__terms")
+    rows = terms.agg(F.sum(F.size("__terms"))).first()[0] or 0
+    own = F.coalesce(F.col("doc_id").cast("long"), text_id()) == F.col("__of")  # so that null ids are spread over the tasks
+    out = docs.drop("base", "spans").withColumn("base", base_spans(text)).join(small(terms, rows), own & F.col("doc_id").isNotNull(), "left")
+    told = F.filter(F.array_distinct(words(text)), lambda w: F.array_contains(F.col("__terms"), F.xxhash64(w)))
+    more = let(told, lambda t: F.when(F.size(t) > 0, F.array_sort(F.concat("base", _term_spans(text, t, F.col("base"))))).otherwise(F.col("base")))
+    return out.withColumn("spans", F.when(F.col("__terms").isNull(), F.col("base")).otherwise(more)).drop("__of", "__terms")
 
 
 def listed(spans: Column) -> Column:

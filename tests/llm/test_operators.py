@@ -229,6 +229,19 @@ def test_disclosing_terms(spark):
     assert clean == "before2 agent [TERM] [EMAIL] after2 and [TERM] again"
 
 
+def test_disclosing_terms_of_rare_entities(spark):
+    """A name far from the one address it always comes with is found, though both are in two documents only; its copies are no evidence."""
+    filler = lambda i: " ".join(f"word{(i * 7 + j * j) % 90}" for j in range(40))
+    rows = [(i, f"{filler(i)} doc{i}") for i in range(1000)]
+    rows += [(2000 + i, f"Quimby {filler(i)} is known to {filler(i + 50)} rare@x.org said{i}") for i in range(2)]
+    rows += [(3000 + i, f"Ogilvy {filler(7)} wrote to once@x.org") for i in range(4)]
+    rows += [(4000 + i, f"Bartleby {filler(i + 3)} wrote to us of often{i}@x.org") for i in range(8)]
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    terms = {r["doc_id"]: {s["value"] for s in r["spans"] if s["kind"] == 4} for r in got.where("doc_id >= 2000").collect()}
+    assert "Quimby" in terms[2000] and "Quimby" in terms[2001] and "word1" not in terms[2000]
+    assert all("Ogilvy" not in terms[3000 + i] for i in range(4)) and all("Bartleby" not in terms[4000 + i] for i in range(8))
+
+
 def slow_borders(b):
     h, hashes = 0, []
     for c in b:
