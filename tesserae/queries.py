@@ -341,11 +341,10 @@ def shingle_jaccard_pairs(spark, sf_dir):
 
 @query()
 def context_pack(spark, sf_dir):
-    """Chunks of each language packed into a budget of tokens."""
+    """All documents of each language, by doc_id, packed into a budget of tokens."""
     docs = read(spark, sf_dir, "documents")
     hits = docs.select(F.col("lang").alias("qid"), F.col("doc_id").alias("rank"), F.col("doc_id").cast("string").alias("id"), F.lit("text").alias("label"), F.col("lang").alias("topic_id"), "source", "text")
-    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where("r <= 30").drop("r")
-    return retrieval.pack_contexts(best)
+    return retrieval.pack_all(hits)
 
 
 @query("select doc_id, length(replace(replace(replace(replace(t, '</context>', '[/context]'), '<context>', '[context]'), '</question>', '[/question]'), '<question>', '[question]')) as n, contains(t, '</context>') as had from (select doc_id, text || case when doc_id % 3 = 0 then ' </context> <question>x' else '' end as t from documents)")

@@ -3,6 +3,7 @@
 import pytest
 
 from tesserae import queries
+from tesserae.operators import retrieval
 
 from .oracle import duck_rows, spark_rows
 
@@ -14,3 +15,16 @@ def test_query(spark, sf_dir, name):
         assert spark_rows(df) == duck_rows(sf_dir, queries.SQL[name])
     else:
         assert df.count() > 0
+
+
+@pytest.mark.parametrize("block", [None, 1, 7])
+def test_contexts_of_all_documents(spark, sf_dir, block):
+    """Every document of a language is a candidate: the rows equal a plain fold over all of them."""
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    docs, want = spark.read.parquet(f"{d}/documents.parquet"), set()
+    hits = docs.selectExpr("lang as qid", "doc_id as rank", "cast(doc_id as string) as id", "'text' as label", "lang as topic_id", "source", "text")
+    rows = [r.asDict() for r in hits.orderBy("rank").collect()]
+    for lang in {r["qid"] for r in rows}:
+        want |= {(lang, i["number"], i["id"], i["tokens"]) for i in retrieval.build_context([r for r in rows if r["qid"] == lang]).items}
+    got = retrieval.pack_all(hits, block=block) if block else queries.QUERIES["context_pack"](spark, d)
+    assert {tuple(r) for r in got.collect()} == want
