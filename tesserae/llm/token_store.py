@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.textbytes import U64, list_array
-from tesserae.llm.tokenizer import byte_level, byte_level_words
+from tesserae.llm.textbytes import U64, list_array, text_slices
+from tesserae.llm.tokenizer import byte_level, byte_level_spans
 from tesserae.llm.work import dropped, new_path, small, written
 
 SCALE, LANES, CHECKPOINT = 20, 1024, 64
@@ -136,39 +136,35 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = byte_level(path)
-        kind = "<u2" if memo.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        end = np.array([end_id], "<u4").tobytes()
         file, block, before, held = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids, sizes, parts = [], [], []
 
         def closed() -> pa.RecordBatch:
             nonlocal block, before, held, doc_ids, sizes, parts
-            ids = np.frombuffer(b"".join(parts), "<u4").astype(kind).tobytes()
+            ids = np.concatenate(parts).astype(f"<u{memo.kind().itemsize}").tobytes()
             out = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((file, pa.int32()), (block, pa.int32()), (before, pa.int64()), (doc_ids, pa.list_(pa.int64())), (sizes, pa.list_(pa.int32())), (ids, pa.binary()))], ["file", "block", "before", "doc_ids", "sizes", "ids"])
             block, before, held, doc_ids, sizes, parts = block + 1, before + held, 0, [], [], []
             return out
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
-            at = 0
-            while at < len(names):
-                some, size = [], 0
-                while at + len(some) < len(names) and size < 1 << 20:
-                    some.append(texts[at + len(some)].as_py() or "")
-                    size += len(some[-1])
-                words = [byte_level_words(t) for t in some]
-                values = memo.encode([w for ws in words for w in ws])
-                k = 0
-                for name, ws in zip(names[at : at + len(some)], words):
-                    ids = b"".join(values[k : k + len(ws)]) + end
-                    k += len(ws)
-                    doc_ids.append(name)
-                    sizes.append(len(ids) // 4)
-                    parts.append(ids)
-                    held += sizes[-1]
+            names = batch.column(0).to_pylist()
+            for at, data, offsets in text_slices(batch, "text"):
+                starts, ends, words = byte_level_spans(data, offsets, memo.special)
+                ids, n = memo.encode(data, starts, ends)
+                row_ends = np.concatenate([[0], np.cumsum(n)])[words[1:]]
+                ids = np.insert(ids, row_ends, end_id)
+                row_ends += np.arange(1, len(row_ends) + 1)
+                row = 0
+                while row < len(row_ends):  # as many rows as the block still takes
+                    begin = int(row_ends[row - 1]) if row else 0
+                    to = min(len(row_ends), int(np.searchsorted(row_ends, begin + BLOCK - held)) + 1)
+                    doc_ids += names[at + row : at + to]
+                    sizes += np.diff(row_ends[row:to], prepend=begin).tolist()
+                    parts.append(ids[begin : row_ends[to - 1]])
+                    held += int(row_ends[to - 1]) - begin
+                    row = to
                     if held >= BLOCK:
                         yield closed()
-                at += len(some)
         if doc_ids:
             yield closed()
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tesserae.llm import bpe_codec, chunk_dedup, components, decontaminate, gear, lang_id, near_dup, pii, quality, queries, sharding, suffix_dedup, token_store
+from tesserae.llm import bpe_codec, chunk_dedup, components, decontaminate, gear, lang_id, near_dup, pii, quality, queries, sharding, suffix_dedup, textbytes, token_store, tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -343,11 +343,46 @@ def test_bpe_codec(both):
 
 
 def test_bpe_joins_are_repaired():
+    """Borders in the middle of words, more of them than a recursion could take, and beside spaces."""
     own = bpe_codec.Codec(public_tokenizers.path("word_bpe_49k.json"))
-    text = "some text that was cut in the middle of words, and put together"
-    cuts = [text[:7].encode(), text[7:25].encode(), text[25:41].encode(), text[41:].encode()]
-    values = own.joined_up(cuts)
-    assert b"".join(v[0] for v in values) == np.array(own.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    texts = ["some text that was cut in the middle of words, and put together", "w" * 3000, "  two   spaces \n\n and lines\n", ""]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    edges = np.unique(np.concatenate([offsets, [7, 25, 41], np.arange(65, 3000, 2), np.arange(offsets[2], offsets[3])]))
+    ids, sizes = own.encode(data, offsets, edges)
+    want = [own.words.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    assert own.decode(ids, sizes).to_pylist() == [own.words.library.decode(x, skip_special_tokens=False) for x in want]
+
+
+def test_word_table_is_bounded():
+    """With room for few words, words are forgotten and encoded anew; the ids stay right."""
+    own = tokenizer.WordIds(public_tokenizers.path("byte_bpe_50k.json"), bits=10)
+    for seed in range(4):
+        words = [f" w{(i * 7 + seed * 331) % 900}" for i in range(300)] + [" " + "long" * 100, " a"]
+        ends = np.cumsum([len(w) for w in words])
+        ids, sizes = own.encode(np.frombuffer("".join(words).encode(), np.uint8), ends - [len(w) for w in words], ends)
+        want = [own.library.encode(w, add_special_tokens=False).ids for w in words]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    assert own.count <= 1 << 10
+
+
+def test_word_hashes_tell_apart_what_polynomials_do_not():
+    """Thue-Morse strings agree in any polynomial hash modulo 2**64, whatever its base."""
+    bits = np.array([bin(i).count("1") & 1 for i in range(1024)], np.uint8)
+    for size in (512, 1024):
+        data = np.concatenate([bits[:size] + 97, 98 - bits[:size]])
+        for seed in (0, 1, 7):
+            a, b = textbytes.span_hashes(data, np.array([0, size]), np.array([size, 2 * size]), seed)
+            assert a != b
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 3, 4000).astype(np.uint8)
+    starts = rng.integers(0, 2000, 3000)
+    ends = starts + rng.integers(0, 1500, 3000)
+    seen = {}
+    for h, s, e in zip(textbytes.span_hashes(data, starts, ends).tolist(), starts.tolist(), ends.tolist()):
+        assert seen.setdefault(h, data[s:e].tobytes()) == data[s:e].tobytes()
+    assert len(seen) == len({data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist())})
 
 
 def test_empty_tables(empty, spark):
