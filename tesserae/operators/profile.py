@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.config import DEFAULTS, Settings
-from tesserae.functions.text import to_instant, to_number
+from tesserae.functions.text import to_instant
 from tesserae.operators.kinds import infer_kinds, nan_to_null
-from tesserae.operators.table_query import as_number
+from tesserae.operators.conditions import Cell
 
 
 def number_text(x: float) -> str:
@@ -99,7 +99,7 @@ def profile(df: DataFrame, kinds: dict[str, str] | None = None, row: str | None
         col = F.col(f"`{c}`")
         aggs.append(F.count(col).alias(f"n{i}"))
         if kinds[c] in ("integer", "decimal", "amount_text"):
-            x = to_number(col) if kinds[c] == "amount_text" else as_number(df, c, kinds[c])
+            x = Cell(df, c, kinds[c]).figure()
             aggs += [F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.avg(x).alias(f"mean{i}"), F.median(x).alias(f"median{i}"), F.count_distinct(x).alias(f"d{i}")]
         elif kinds[c] == "date":
             t = to_instant(col) if df.schema[c].dataType.typeName() == "string" else col.cast("timestamp")

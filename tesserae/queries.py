@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as T
 from tesserae.operators import chunking, citations, metrics, prep, profile, retrieval, sync
 from tesserae.operators.kinds import infer_kinds
-from tesserae.operators.table_query import Filter, QueryError, TableRequest, compile_request
+from tesserae.operators.conditions import Filter, QueryError
+from tesserae.operators.table_query import TableRequest, compile_request
 from tesserae.sources.html import html_blocks_udf, sections_udf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

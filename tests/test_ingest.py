@@ -227,7 +227,7 @@ def test_from_files_to_answers(spark, folder, tmp_path):
     got = rag.answer("how many units and snakes?")
     assert got.status == "answered" and got.text == "There are 6 units [C1], see [1] and." and got.calculations[0].value == 6 and len(prompts) == 2
     assert [s["name"] for s in got.trace.steps] == ["rewrite", "route", "embed", "search", "merge", "context", "generate"] and json.loads(log.read_text())["status"] == "answered"
-    assert "calculation: sum of 'units'" in got.citations.sources[-1].display
+    assert "calculation: sum(units)" in got.citations.sources[-1].display
     assert rag.answer("x" * 2001).status == "input" and rag.answer(" ").status == "input"
     rag.router = lambda prompt: []
     assert rag.answer("anything").status == "router"
