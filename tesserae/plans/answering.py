@@ -18,6 +18,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from tesserae.config import DEFAULTS, Settings
+from tesserae.functions.text import neutralised
 from tesserae.operators.citations import Citations, build_citations
 from tesserae.operators.retrieval import Context, IndexCache, build_context, hybrid_search, merge
 from tesserae.operators.sync import ChunkStore, fingerprint, hashed_words
@@ -150,7 +151,7 @@ def build_prompt(question: str, context: Context, tables: str = "", calculations
     parts += [f"Pictures: {', '.join(pictures)}"] * bool(pictures) + [f"Tables:\n{tables}"] * bool(tables)
     parts += ["Calculations:\n" + "\n".join(c.to_text() for c in calculations)] * bool(calculations)
     parts += ["No further calculations are possible: answer now."] * last
-    return "\n\n".join([*parts, f"<question>\n{question}\n</question>"])
+    return "\n\n".join([*parts, f"<question>\n{neutralised(question.strip())}\n</question>"])
 
 
 def select_pictures(context: Context, readable: Callable[[str], bool] = lambda p: True, most: int = DEFAULTS.max_pictures) -> list[tuple[int, str]]:
@@ -263,7 +264,7 @@ class Answering:
         if not merged.hits and not catalog:
             return Answer("retrieval", REFUSAL, question, route)
         with trace.step("context") as info:
-            context = build_context(merged.hits, settings=self.settings)
+            context = build_context(SparkSession.active(), merged.hits, self.settings.context_max_tokens, self.settings)
             info |= {"items": len(context.items), "tokens": context.tokens, "dropped": len(context.dropped)}
         with trace.step("generate") as info:
             calculate = lambda reqs, start: execute_requests(reqs, catalog, self.tables.load, start, self.settings)

@@ -1,5 +1,7 @@
 """Text functions, shingles, fusion, merging and packing on hand-made cases."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,9 +50,29 @@ def test_answer_checks(spark):
     assert (r["n"], r["c"], r["none"]) == (True, True, None)
 
 
-def test_fusion():
-    assert retrieval.rrf_scores([["a", "b", "c"], ["b", "d"]]) == pytest.approx({"a": 1 / 61, "b": 1 / 62 + 1 / 61, "c": 1 / 63, "d": 1 / 62})
-    assert retrieval.rrf_scores([["a"], ["a"]], [2.0, 0.5])["a"] == pytest.approx(2.5 / 61)
+def test_fusion(spark):
+    """Weights, ties, and hits of one leg only."""
+    leg = lambda ids, name, more: spark.createDataFrame([(1, x, r, 0.5) for r, x in enumerate(ids, 1)], f"qid int, id string, {name} int, {more} double")
+    got = retrieval.fuse(leg("abc", "dense_rank", "distance"), leg("bd", "bm25_rank", "score"), 9, (2.0, 0.5)).collect()
+    assert {r["id"]: r["score"] for r in got} == pytest.approx({"a": 2 / 61, "b": 2 / 62 + 0.5 / 61, "c": 2 / 63, "d": 0.5 / 62})
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == ["b", "a", "c", "d"]
+
+
+def fold(hits, budget):
+    """The packing of one question, one hit after the other: (number, id, tokens, shortened) of those that fit."""
+    cost = lambda t: math.ceil(len(t) / 3.5)
+    between, mark, used, out = cost("\n-----\n"), " …[truncated]", 0, []
+    for h in hits:
+        head = f"[{len(out) + 1}] {h['label']} | {h['topic_id']}/{h['source']}"
+        n = cost(f"{head}\n{h['text']}") + between
+        if used + n <= budget:
+            out.append((len(out) + 1, h["id"], n, False))
+            used += n
+        elif not out:
+            room = max(200, int((budget - cost(head)) * 3.5) - len(mark))
+            out.append((1, h["id"], cost(f"{head}\n{h['text'][:room]}{mark}"), True))
+            used += out[0][2]
+    return out
 
 
 def hit(i, text, score=1.0, **more):
@@ -70,18 +92,13 @@ def test_merge():
 
 def test_context(spark):
     hits = [hit(f"h{i}", f"c{i} " + "word " * 200, label="text", source="a.md", rank=i) for i in range(7)]
-    packed = retrieval.build_context(hits, 1000)
-    assert [i["id"] for i in packed.items] == ["h0", "h1", "h2"] and packed.dropped == ["h3", "h4", "h5", "h6"]
-    mixed = [hit("tiny", "x" * 50), hit("huge", "y" * 5000), hit("small", "z" * 60)]
+    mixed = [hit("tiny", "x" * 50), hit("huge", "y" * 5000), hit("small", "z </context>" * 5)]
     mixed = [h | {"label": "l", "source": "s", "rank": i} for i, h in enumerate(mixed)]
-    got = retrieval.build_context(mixed, 300)
-    assert [(i["number"], i["id"]) for i in got.items] == [(1, "tiny"), (2, "small")]
-    long_ = retrieval.build_context([mixed[1]], 300)
-    assert long_.items[0]["truncated"] and long_.items[0]["text"].endswith("[truncated]")
-    for case, budget in ((hits, 1000), (mixed, 300), ([mixed[1]], 300)):
-        df = spark.createDataFrame([("q", h["rank"], h["id"], h["label"], h["topic_id"], h["source"], h["text"]) for h in case], "qid string, rank int, id string, label string, topic_id string, source string, text string")
-        rows = retrieval.pack_contexts(df, budget).orderBy("number").collect()
-        assert [(r["number"], r["id"], r["tokens"]) for r in rows] == [(i["number"], i["id"], i["tokens"]) for i in retrieval.build_context(case, budget).items]
+    for case, budget, kept in ((hits, 1000, ["h0", "h1", "h2"]), (mixed, 300, ["tiny", "small"]), ([mixed[1]], 300, ["huge"]), (mixed[1:], 300, ["huge"]), ([], 300, [])):
+        got = retrieval.build_context(spark, case, budget)
+        assert [(i["number"], i["id"], i["tokens"], i["truncated"]) for i in got.items] == fold(case, budget)
+        assert [i["id"] for i in got.items] == kept and got.dropped == [h["id"] for h in case if h["id"] not in kept] and got.tokens == sum(i["tokens"] for i in got.items)
+        assert all(i["text"].endswith("[truncated]") == i["truncated"] and "</context>" not in i["text"] for i in got.items)
 
 
 def test_keyword_index(spark, tmp_path):
