@@ -115,7 +115,7 @@ PLURALS = ((r"ies$", 5, 3, "y"), (r"(ch|sh|x|z|ss)es$", 4, 2, ""), (r"(ss|us|is)
 
 def stem(t: Column) -> Column:
     """A small stripper of plurals, by PLURALS; short words and those with digits stay."""
-    out = F.when(t.rlike(r"\p{Nd}"), t)
+    out = F.when(~t.endswith("s") | t.rlike(r"\p{Nd}"), t)  # all plural endings end in s
     for ending, least, gone, instead in PLURALS:
         out = out.when(t.rlike(ending) & (F.length(t) >= least), F.concat(F.substring(t, F.lit(1), F.length(t) - gone), F.lit(instead)))
     return out.otherwise(t)
@@ -123,8 +123,17 @@ def stem(t: Column) -> Column:
 
 def keyword_tokens(c: Column) -> Column:
     """Tokens for keyword search: camelCase parted, stop words dropped, plurals stripped."""
-    parted = F.regexp_replace(F.coalesce(c, F.lit("")), "(?<=[a-z])(?=[A-Z])", " ")
-    return F.transform(F.filter(tokens(parted), lambda t: ~t.isin(*STOPWORDS)), stem)
+    return F.transform(F.filter(tokens(parted(c)), lambda t: ~t.isin(*STOPWORDS)), stem)
+
+
+def keywords(t: Column) -> Column:
+    """The keyword of one token, null for a stop word: keyword_tokens() for a token in a row of its own."""
+    return F.when(~t.isin(*STOPWORDS), stem(t))
+
+
+def parted(c: Column) -> Column:
+    """camelCase in its words."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), "(?<=[a-z])(?=[A-Z])", " ")
 
 
 def question_tokens(c: Column, boost: int = DEFAULTS.id_boost) -> Column:
@@ -147,6 +156,18 @@ def shingles(c: Column, k: int = 3) -> Column:
     return F.transform(F.array(words), grams)[0]
 
 
+def shingle_hashes(c: Column, k: int = 3) -> Column:
+    """The distinct 64-bit hashes of what shingles() gives, without the texts."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"({WORD})"), 1)
+
+    def grams(h: Column) -> Column:
+        n = F.size(h)
+        many = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))
+        return F.when(n <= k, F.array(F.xxhash64(h))).otherwise(F.array_distinct(many))
+
+    return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), grams)[0]
+
+
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both / (F.size(a) + F.size(b) - both)

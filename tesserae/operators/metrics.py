@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.config import DEFAULTS, Settings
+from tesserae.operators import quantiles
 
 
 def score_retrieval(retrieved: DataFrame, relevant: DataFrame, k: int | None = None) -> DataFrame:
@@ -36,17 +37,19 @@ def rate(c: Column) -> Column:
     return F.avg(c.cast("int").cast("double"))
 
 
-def p95_floor(c: Column) -> Column:
-    """The element at floor(0.95 (n - 1)) of the sorted values. A run's values of one group fit into one list."""
-    return F.transform(F.array(F.array_sort(F.collect_list(c))), lambda x: F.when(F.size(x) > 0, F.get(x, F.floor(0.95 * (F.size(x) - 1)).cast("int"))))[0]
+def summarize_run(records: DataFrame, by: str = "category", rates: list[str] = (), means: list[str] = (), seconds: str | None = None) -> DataFrame:
+    """One row for the whole run (is_total) and one for each category, from one pass of grouping sets.
 
-
-def summarize_run(records: DataFrame, by: str = "category", rates: list[str] = (), means: list[str] = (), seconds: str | None = None, exact_p95: bool = True) -> DataFrame:
-    """One row for the whole run (is_total) and one for each category, from one pass of grouping sets."""
+    With `seconds`, its mean and the value at floor(0.95 (n - 1)) of its sorted values, by rank selection.
+    """
     aggs = [F.count(F.lit(1)).alias("questions"), *(rate(F.col(c)).alias(c) for c in rates), *(F.avg(c).alias(c) for c in means)]
-    if seconds:
-        aggs += [F.avg(seconds).alias("seconds_mean"), (p95_floor(F.col(seconds)) if exact_p95 else F.percentile_approx(seconds, 0.95)).alias("seconds_p95")]
-    return records.groupingSets([[], [F.col(by)]], F.col(by)).agg((F.grouping(by) == 1).alias("is_total"), *aggs)
+    aggs += [F.avg(seconds).alias("seconds_mean")] if seconds else []
+    out = records.groupingSets([[], [F.col(by)]], F.col(by)).agg((F.grouping(by) == 1).alias("is_total"), *aggs)
+    if not seconds:
+        return out
+    twice = records.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("is_total"), by, seconds).withColumn(by, F.when(~F.col("is_total"), F.col(by)))
+    late = quantiles.floor_rank(twice, ["is_total", by], seconds, 0.95).select(F.col("is_total").alias("_t"), F.col(by).alias("_b"), F.col("value").alias("seconds_p95"))
+    return out.join(late, (F.col("is_total") == F.col("_t")) & F.col(by).eqNullSafe(F.col("_b")), "left").drop("_t", "_b")
 
 
 def share_of(verdicts: Column, good: str) -> Column:
@@ -54,6 +57,16 @@ def share_of(verdicts: Column, good: str) -> Column:
     return F.when(F.size(verdicts) > 0, F.size(F.filter(verdicts, lambda v: v == good)) / F.size(verdicts))
 
 
+def faithfulness(claims: DataFrame) -> DataFrame:
+    """(qid, claims, faithfulness): the share of each answer's claims that its context supports; claims has qid and verdict."""
+    return claims.groupBy("qid").agg(F.count("verdict").alias("claims"), F.avg((F.col("verdict") == "supported").cast("double")).alias("faithfulness"))
+
+
+def correctness(facts: DataFrame) -> DataFrame:
+    """(qid, facts, correctness): the share of each question's expected facts that its answer states; facts has qid and verdict."""
+    return facts.groupBy("qid").agg(F.count("verdict").alias("facts"), F.avg((F.col("verdict") == "present").cast("double")).alias("correctness"))
+
+
 def relevance(verdict: Column) -> Column:
     return F.when(verdict == "full", 1.0).when(verdict == "partial", 0.5).when(verdict == "none", 0.0)
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.config import DEFAULTS, Settings
-from tesserae.functions.text import to_instant
+from tesserae.operators import quantiles
+from tesserae.operators.conditions import FAMILY, Cell
 from tesserae.operators.kinds import infer_kinds, nan_to_null
-from tesserae.operators.conditions import Cell
+from tesserae.operators.prep import sample
 
 
 def number_text(x: float) -> str:
@@ -47,7 +48,7 @@ def header_line(columns: list[str]) -> str:
 
 def sampled(df: DataFrame, n: int = DEFAULTS.table_embed_rows, row: str = "_row", seed: int = DEFAULTS.table_sample_seed) -> DataFrame:
     """n rows of the table, the same ones whenever it is asked: those with the least hash of their number."""
-    return df.orderBy(F.xxhash64(F.col(row), F.lit(seed)), row).limit(n)
+    return sample(df, row, n, seed)
 
 
 def row_groups(lines: DataFrame, table: str = "table_id", chars: int = DEFAULTS.table_group_chars) -> DataFrame:
@@ -76,45 +77,63 @@ def _packed(rows, chars: int) -> Iterator[list]:
         yield held
 
 
-def value_counts(df: DataFrame, columns: list[str], n: int, row: str | None = None) -> DataFrame:
-    """(column, value, count): the n most frequent values of each column, ties by first appearance.
+def _counted(df: DataFrame, columns: list[str], row: str | None) -> DataFrame:
+    """(column, value, count, at): how often each value of each column occurs, and where first.
 
     All columns are unpivoted into one aggregation, which sums up before its shuffle.
     """
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns)))
     at = F.col(row) if row else F.monotonically_increasing_id()
     rows = df.select(at.alias("at"), pairs.alias("p")).where("p.value is not null")
-    counted = rows.groupBy("p.column", "p.value").agg(F.count("*").alias("count"), F.min("at").alias("at"))
+    return rows.groupBy("p.column", "p.value").agg(F.count("*").alias("count"), F.min("at").alias("at"))
+
+
+def value_counts(df: DataFrame, columns: list[str], n: int, row: str | None = None) -> DataFrame:
+    """(column, value, count, r): the n most frequent values of each column, ties by first appearance."""
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "at", "value"))
-    return counted.withColumn("r", rank).where(F.col("r") <= n).drop("at")
+    return _counted(df, columns, row).withColumn("r", rank).where(F.col("r") <= n).drop("at")
 
 
 def profile(df: DataFrame, kinds: dict[str, str] | None = None, row: str | None = None, settings: Settings = DEFAULTS) -> dict[str, dict]:
-    """Statistics of every column: one aggregation for all, and one more for the frequent values."""
+    """Statistics of every column: sums and bounds of all in one aggregation, medians by nested histograms of all at once,
+    and distinct and frequent values from one count of all columns' values."""
     df = nan_to_null(df)
     names = [c for c in df.columns if c != row]
     kinds = kinds or infer_kinds(df, row_column=row)
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    aggs, figures = [F.count(F.lit(1)).alias("rows")], {}
     for i, c in enumerate(names):
-        col = F.col(f"`{c}`")
-        aggs.append(F.count(col).alias(f"n{i}"))
-        if kinds[c] in ("integer", "decimal", "amount_text"):
-            x = Cell(df, c, kinds[c]).figure()
-            aggs += [F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.avg(x).alias(f"mean{i}"), F.median(x).alias(f"median{i}"), F.count_distinct(x).alias(f"d{i}")]
+        cell_ = Cell(df, c, kinds[c])
+        aggs.append(F.count(cell_.raw).alias(f"n{i}"))
+        if FAMILY[kinds[c]] == "figures":
+            figures[c] = x = cell_.figure()
+            aggs += [F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.avg(x).alias(f"mean{i}")]
         elif kinds[c] == "date":
-            t = to_instant(col) if df.schema[c].dataType.typeName() == "string" else col.cast("timestamp")
+            t = cell_.instant()
             aggs += [F.min(t).cast("date").cast("string").alias(f"min{i}"), F.max(t).cast("date").cast("string").alias(f"max{i}")]
         elif kinds[c] == "text":
-            aggs += [F.count_distinct(col).alias(f"d{i}"), F.avg(F.length(col.cast("string"))).alias(f"len{i}"), F.first(col.cast("string"), ignorenulls=True).alias(f"one{i}")]
-        elif kinds[c] == "boolean":
-            aggs.append(F.count_distinct(col).alias(f"d{i}"))
+            text = cell_.raw.cast("string")
+            first = F.min_by(text, F.when(text.isNotNull(), F.col(row) if row else F.monotonically_increasing_id()))
+            aggs += [F.avg(F.length(text)).alias(f"len{i}"), first.alias(f"one{i}")]
     seen = df.agg(*aggs).first().asDict()
     out = {}
     for i, c in enumerate(names):
-        out[c] = {"kind": kinds[c], "missing": seen["rows"] - seen[f"n{i}"]} | {k: seen[f"{k}{i}"] for k in ("min", "max", "mean", "median", "d", "len", "one") if f"{k}{i}" in seen}
-    counted = [c for c in names if kinds[c] in ("boolean", "text", "integer", "decimal") and out[c].get("d") is not None and not (kinds[c] in ("integer", "decimal") and out[c]["d"] > 10)]
+        out[c] = {"kind": kinds[c], "missing": seen["rows"] - seen[f"n{i}"]} | {k: seen[f"{k}{i}"] for k in ("min", "max", "mean", "len", "one") if f"{k}{i}" in seen}
+    if figures:
+        pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), x.alias("x")) for c, x in figures.items())))
+        for r in quantiles.median(df.select(pairs.alias("p")).select("p.column", "p.x"), ["column"], "x").collect():
+            out[r["column"]]["median"] = r["value"]
+        for c in figures:
+            out[c].setdefault("median", None)
+    counted = [c for c in names if kinds[c] not in ("date", "empty")]
     if counted:
-        for r in value_counts(df, counted, settings.table_enum_max, row).collect():
+        rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "at", "value"))
+        counts = _counted(df, counted, row)
+        for r in counts.groupBy("column").agg(F.count("*").alias("d")).collect():
+            out[r["column"]]["d"] = r["d"]
+        for c in counted:
+            out[c].setdefault("d", 0)
+        few = [c for c in counted if kinds[c] in ("boolean", "text") or (kinds[c] in ("integer", "decimal") and out[c]["d"] <= 10)]
+        for r in counts.where(F.col("column").isin(few)).withColumn("r", rank).where(F.col("r") <= settings.table_enum_max).collect():
             out[r["column"]].setdefault("top", []).append((r["r"], r["value"], r["count"]))
     return out
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators.chunking import META, duplicate_ids
+from tesserae.sources import versions
 
 Embedder = Callable[[list[str]], list[list[float]]]
 _COLUMNS = ("id", "text", *META, "content_hash")
@@ -69,7 +70,7 @@ def diff(old: DataFrame, new: DataFrame, protected: DataFrame | None = None) ->
 
 
 class ChunkStore:
-    """Topics under one folder; each has versions and a pointer to the current one."""
+    """Topics under one folder; each has versions, of which the newest complete one counts."""
 
     def __init__(self, spark: SparkSession, folder: str, embedder: Embedder = hashed_words):
         self.spark, self.folder, self.embedder = spark, folder.rstrip("/"), embedder
@@ -79,8 +80,7 @@ class ChunkStore:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _version(self, topic: str) -> int | None:
-        fs, p = self._fs(f"{self.folder}/{topic}/CURRENT")
-        return int(self.spark.read.text(p.toString()).first()[0]) if fs.exists(p) else None
+        return versions.newest(self.spark, f"{self.folder}/{topic}")
 
     def topics(self) -> list[str]:
         fs, p = self._fs(self.folder)
@@ -102,6 +102,19 @@ class ChunkStore:
         fs.delete(p, True)
 
     def sync(self, topic: str, new: DataFrame, protected_sources: list[str] = (), allow_empty: bool = False) -> SyncStats:
+        """Makes the topic's chunks those of `new`; only added and changed ones are embedded.
+
+        `new` is written once, beside the versions, as parsing and chunking stand behind it; all steps read that table.
+        """
+        staged = f"{self.folder}/{topic}/staged"
+        new.select(*_COLUMNS).write.mode("overwrite").parquet(staged)
+        try:
+            return self._sync(topic, self.spark.read.schema(new.select(*_COLUMNS).schema).parquet(staged), protected_sources, allow_empty)
+        finally:
+            fs, p = self._fs(staged)
+            fs.delete(p, True)
+
+    def _sync(self, topic: str, new: DataFrame, protected_sources: list[str], allow_empty: bool) -> SyncStats:
         if not new.where(F.col("topic_id") != topic).isEmpty():
             raise ValueError(f"chunks of another topic cannot go into '{topic}'")
         clash = duplicate_ids(new).first()
@@ -109,45 +122,33 @@ class ChunkStore:
             raise ValueError(f"two chunks share the id {clash['id']!r}")
         old = self.chunks(topic)
         if old is None:
-            old = self.spark.createDataFrame([], new.select(*_COLUMNS).withColumn("embedding", F.array(F.lit(0.0).cast("float"))).schema)
+            old = self.spark.createDataFrame([], new.withColumn("embedding", F.array(F.lit(0.0).cast("float"))).schema)
         elif new.isEmpty() and not old.isEmpty() and not allow_empty:
             raise ValueError(f"refusing to empty the topic '{topic}'")
         safe = self.spark.createDataFrame([(s,) for s in protected_sources], "source string")
-        status = diff(old, new, safe)
         known = old.select("id", F.col("content_hash").alias("was"), F.col("embedding").alias("old"))
-        keep = new.select(*_COLUMNS).join(known, "id", "left").withColumn("same", F.coalesce(F.col("was") == F.col("content_hash"), F.lit(False)))
+        keep = new.join(known, "id", "left").withColumn("same", F.coalesce(F.col("was") == F.col("content_hash"), F.lit(False)))
         same = keep.where("same").select(*_COLUMNS, F.col("old").alias("embedding"))
         fresh = keep.where("not same").select(*_COLUMNS)
         fresh = fresh.withColumn("embedding", embed(F.col("text"), self.embedder))
         kept = old.join(safe, "source", "left_semi").join(new.select("id"), "id", "left_anti").select(*_COLUMNS, "embedding")
-        version = (self._version(topic) or 0) + 1
-        counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-        same.unionByName(fresh).unionByName(kept).write.mode("overwrite").parquet(f"{self.folder}/{topic}/v{version}")
-        self._point(topic, version)
+        counts = {r["status"]: r["count"] for r in diff(old, new, safe).groupBy("status").count().collect()}
+        versions.write(same.unionByName(fresh).unionByName(kept), f"{self.folder}/{topic}")
         return SyncStats(*(counts.get(s, 0) for s in ("added", "updated", "unchanged", "deleted", "protected")))
 
-    def _point(self, topic: str, version: int) -> None:
-        fs, target = self._fs(f"{self.folder}/{topic}/CURRENT")
-        temp = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{topic}/CURRENT.new")
-        out = fs.create(temp, True)
-        out.write(bytearray(str(version).encode()))
-        out.close()
-        fs.delete(target, False)
-        fs.rename(temp, target)
-        old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{topic}/v{version - 2}")
-        if fs.exists(old):  # the version before stays for readers that have just begun
-            fs.delete(old, True)
 
+def fingerprints(chunks: DataFrame, *by: str) -> DataFrame:
+    """(by, fingerprint) of each group of chunks: it changes when one is added, removed or changed, whatever their order.
 
-def fingerprint(chunks: DataFrame) -> str:
-    """Changes when a chunk is added, removed or changed. Ids fall into 256 blocks by their own hash, so no task gets all."""
-    item = F.concat("id", F.lit(":"), "content_hash", F.lit(";"))
-    n = F.conv(F.substring(F.sha1(item.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
-    rows = chunks.agg(F.count("*").alias("n"), F.sum(n).alias("s"), F.bit_xor(F.xxhash64("id", "content_hash")).alias("x")).first()
-    return hashlib.sha1(f"{rows['n']}:{rows['s']}:{rows['x']}".encode()).hexdigest()
+    The SHA-1 of the number of chunks and of two sums of 60 bits of each chunk's own SHA-1, which are added up before
+    the shuffle; so no list of a group's chunks is ever made.
+    """
+    item = F.sha1(F.concat(F.col("id").cast("string"), F.lit(":"), "content_hash").cast("binary"))
+    part = lambda at: F.sum(F.conv(F.substring(item, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    n = F.count(F.lit(1)).cast("string")
+    whole = F.concat_ws(":", n, F.coalesce(part(1), F.lit("0")), F.coalesce(part(16), F.lit("0")))
+    return chunks.groupBy(*by).agg(F.sha1(whole.cast("binary")).alias("fingerprint"))
 
 
-def ordered_fingerprint(chunks: DataFrame, *by: str) -> DataFrame:
-    """(by, fingerprint): SHA-1 over `id:hash;` in id order. A topic's list meets in one row; fingerprint() has no such bound."""
-    item = F.struct("id", F.concat(F.col("id").cast("string"), F.lit(":"), "content_hash", F.lit(";")).alias("item"))
-    return chunks.groupBy(*by).agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]), "").cast("binary")).alias("fingerprint"))
+def fingerprint(chunks: DataFrame) -> str:
+    return fingerprints(chunks).first()["fingerprint"]

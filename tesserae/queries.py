@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
-from tesserae.operators import chunking, citations, metrics, prep, profile, retrieval, sync
+from tesserae.operators import chunking, citations, metrics, prep, profile, quantiles, retrieval, sync
 from tesserae.operators.kinds import infer_kinds
 from tesserae.operators.conditions import Filter, QueryError
+from tesserae.operators.joins import small
 from tesserae.operators.table_query import TableRequest, compile_request
 from tesserae.sources.html import html_blocks_udf, sections_udf
 
@@ -134,12 +135,11 @@ def tq_sum_events(spark, sf_dir):
     return calculated(read(spark, sf_dir, "events"), "sum", "value", by=("event_type",), places=2)
 
 
-@query()
+@query("select count(*) as value, 1 as notes from customer where c_mktsegment = 'MACHINERY'")
 def tq_near_match(spark, sf_dir):
     """A misspelt value is repaired to the one that is meant."""
-    df = read(spark, sf_dir, "customer")
-    plan = compile_request(TableRequest("t", "count", filters=(Filter("c_mktsegment", "==", "MACHINERRY"),)), df)
-    return plan.result.withColumn("note", F.lit("; ".join(plan.notes)))
+    plan = compile_request(TableRequest("t", "count", filters=(Filter("c_mktsegment", "==", "MACHINERRY"),)), read(spark, sf_dir, "customer"))
+    return plan.result.withColumn("notes", F.lit(len(plan.notes)))
 
 
 @query("select o_orderpriority, round(sum(o_totalprice), 2) as value from orders group by 1")
@@ -188,10 +188,15 @@ def column_kinds(spark, sf_dir):
     return spark.createDataFrame(list(kinds.items()), "column_name string, kind string")
 
 
-@query("select count(*) as n, round(min(l_extendedprice), 2) as low, round(max(l_extendedprice), 2) as high, round(avg(l_extendedprice), 4) as mean, round(median(l_extendedprice), 4) as median, count(distinct l_extendedprice) as distinct_values from lineitem")
+_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_linenumber")
+
+
+@query(" union all ".join(f"select '{c}' as column_name, round(min({c}), 2)::double as low, round(max({c}), 2)::double as high, round(avg({c}), 4) as mean, round(median({c}), 4)::double as median, count(distinct {c}) as distinct_values, count(*) - count({c}) as missing from lineitem" for c in _NUMBERS))
 def profile_numeric(spark, sf_dir):
-    c = F.col("l_extendedprice")
-    return read(spark, sf_dir, "lineitem").agg(F.count(c).alias("n"), F.round(F.min(c), 2).alias("low"), F.round(F.max(c), 2).alias("high"), F.round(F.avg(c), 4).alias("mean"), F.round(F.median(c), 4).alias("median"), F.count_distinct(c).alias("distinct_values"))
+    df = read(spark, sf_dir, "lineitem").select(*_NUMBERS)
+    found = profile.profile(df, row=None)
+    rows = [(c, round(float(p["min"]), 2), round(float(p["max"]), 2), round(p["mean"], 4), round(p["median"], 4), p["d"], p["missing"]) for c, p in found.items()]
+    return spark.createDataFrame(rows, "column_name string, low double, high double, mean double, median double, distinct_values long, missing long")
 
 
 @query()
@@ -235,8 +240,8 @@ _TERMS = (
 @query("with " + _TERMS + " select term, count(distinct id) as df, count(*) as tf from s group by term")
 def tokens_df(spark, sf_dir):
     """Document frequency of every keyword."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.keyword_tokens(F.col("text"))).alias("term"))
-    return docs.groupBy("term", "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(T.parted(F.col("text")))).alias("t")).select("doc_id", T.keywords(F.col("t")).alias("term"))
+    return docs.where("term is not null").groupBy("term", "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
 _BM25 = (
@@ -262,30 +267,31 @@ def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir, 10).select("qid", "id", F.round("score", 4).alias("score"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
 
 
-_COSINE = "1 - list_dot_product(embedding::double[], q) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q, q)))"
-_QUERY_VECTOR = "(select embedding::double[] as q from embeddings where vec_id = 0)"
+_COSINE = "round(1 - list_dot_product(e.embedding::double[], q.v) / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(q.v, q.v))), 12)"
+_ASKED = "q as (select vec_id as qid, embedding::double[] as v from embeddings where vec_id % 20 = 0)"
 
 
-def _vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return list(read(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"])
+def _vectors(spark: SparkSession, sf_dir: str, k: int, by: str | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """Every vector whose id is divisible by 20 against all (or the given) vectors."""
+    all_ = read(spark, sf_dir, "embeddings")
+    asked = all_.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    near = retrieval.dense_search_many(all_ if chunks is None else chunks, asked, k, "vec_id", by=by)
+    return near.select("qid", F.col("id").alias("vec_id"), *([by] if by else []), F.round("distance", 6).alias("distance"), "dense_rank")
 
 
-@query(f"select vec_id, round({_COSINE}, 6) as distance from embeddings, {_QUERY_VECTOR} order by {_COSINE}, vec_id limit 10")
+@query(f"with {_ASKED} select qid, vec_id, round({_COSINE}, 6) as distance, row_number() over (partition by qid order by {_COSINE}, vec_id)::int as dense_rank from embeddings e, q qualify dense_rank <= 10")
 def dense_topk(spark, sf_dir):
-    near = retrieval.dense_search(read(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 10, "vec_id")
-    return near.select("vec_id", F.round("distance", 6).alias("distance"))
+    return _vectors(spark, sf_dir, 10)
 
 
-@query(f"select vec_id, round({_COSINE}, 6) as distance from embeddings, {_QUERY_VECTOR} where label = 3 order by {_COSINE}, vec_id limit 10")
+@query(f"with {_ASKED} select qid, vec_id, round({_COSINE}, 6) as distance, row_number() over (partition by qid order by {_COSINE}, vec_id)::int as dense_rank from embeddings e, q where label = 3 qualify dense_rank <= 10")
 def dense_topk_filtered(spark, sf_dir):
-    df = read(spark, sf_dir, "embeddings").withColumn("modality", F.col("label").cast("string"))
-    return retrieval.dense_search(df, _vector(spark, sf_dir), 10, "vec_id", modality="3").select("vec_id", F.round("distance", 6).alias("distance"))
+    return _vectors(spark, sf_dir, 10, chunks=read(spark, sf_dir, "embeddings").where("label = 3"))
 
 
-@query(f"select label, vec_id, row_number() over (partition by label order by {_COSINE}, vec_id)::int as dense_rank from embeddings, {_QUERY_VECTOR} qualify dense_rank <= 3")
+@query(f"with {_ASKED} select qid, vec_id, label, round({_COSINE}, 6) as distance, row_number() over (partition by qid, label order by {_COSINE}, vec_id)::int as dense_rank from embeddings e, q qualify dense_rank <= 3")
 def dense_topk_per_topic(spark, sf_dir):
-    near = retrieval.dense_search_by(read(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 3, "label", "vec_id")
-    return near.select("label", "vec_id", "dense_rank")
+    return _vectors(spark, sf_dir, 3, by="label")
 
 
 _GRAMS = "case when len(w) <= 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end"
@@ -298,10 +304,9 @@ _SHARED = (
 
 
 def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, n, k): word 3-grams of a benchmark text and a document, in sum and in common. An equi-join on the grams."""
-    a = read(spark, sf_dir, "benchmark").select("item_id", T.shingles(F.col("text")).alias("g")).select("item_id", F.size("g").alias("na"), F.explode("g").alias("x"))
-    b = read(spark, sf_dir, "documents").select("doc_id", T.shingles(F.col("text")).alias("g")).select("doc_id", F.size("g").alias("nb"), F.explode("g").alias("x"))
-    return a.join(b, "x").groupBy("item_id", "doc_id").agg(F.max(F.col("na") + F.col("nb")).alias("n"), F.count("*").alias("k"))
+    """(item_id, doc_id, n, k): word 3-grams of a benchmark text and a document, in sum and in common. An equi-join on their hashes."""
+    grams = lambda t, key, n: read(spark, sf_dir, t).select(key, T.shingle_hashes(F.col("text")).alias("g")).select(key, F.size("g").alias(n), F.explode("g").alias("x"))
+    return grams("documents", "doc_id", "nb").join(small(grams("benchmark", "item_id", "na")), "x").groupBy("item_id", "doc_id").agg(F.max(F.col("na") + F.col("nb")).alias("n"), F.count("*").alias("k"))
 
 
 @query(
@@ -407,10 +412,12 @@ def sync_diff(spark, sf_dir):
     return sync.diff(old, new, spark.createDataFrame([("src1",), ("src2",)], "source string")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("select source, sha1(string_agg(doc_id || ':' || sha1(text) || ';', '' order by doc_id)) as fingerprint from documents group by source")
+@query(
+    "with h as (select source, sha1(doc_id || ':' || sha1(text)) as h from documents) select source, sha1(count(*) || ':' || sum(('0x' || substring(h, 1, 15))::bigint::hugeint) || ':' || sum(('0x' || substring(h, 16, 15))::bigint::hugeint)) as fingerprint from h group by source"
+)
 def fingerprint(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.sha1(F.col("text").cast("binary")).alias("content_hash"))
-    return sync.ordered_fingerprint(docs, "source")
+    return sync.fingerprints(docs, "source")
 
 
 # ---------------------------------------------------------------- chat, citations, evaluation
@@ -466,7 +473,7 @@ def run_summary_rollup(spark, sf_dir):
 
 @query("select event_type, (list(value order by value))[floor(0.95 * (count(value) - 1))::int + 1] as p95 from events group by 1")
 def p95_floor(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(metrics.p95_floor(F.col("value")).alias("p95"))
+    return quantiles.floor_rank(read(spark, sf_dir, "events"), ["event_type"], "value", 0.95).withColumnRenamed("value", "p95")
 
 
 @query("select lang, round(avg(case when quality = 1 and toxic = 0 then 1.0 when quality = 1 then 0.5 else 0.0 end), 6) as relevance from documents join labels using (doc_id) group by 1")
@@ -529,6 +536,7 @@ def prep_anti_complement(spark, sf_dir):
     return prep.sample(rest, "doc_id", 100, 7).select("doc_id")
 
 
-@query("select event_type, count(*) as n, count(*) filter (where value > 50) as large from events group by 1")
+@query("select sum(n) over () as n, sum(large) over () as hits, event_type, large from (select event_type, count(*) as n, count(*) filter (where value > 50) as large from events group by 1) qualify large > 0")
 def prep_conditional_count(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("large"))
+    each = prep.count_if_map(read(spark, sf_dir, "events"), "event_type", F.col("value") > 50)
+    return each.select("n", "hits", F.explode("by_value").alias("event_type", "large"))

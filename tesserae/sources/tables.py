@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tesserae.functions.text import numeric
 from tesserae.operators.kinds import infer_kinds
 from tesserae.operators.table_query import TableInfo
+from tesserae.sources import versions
 from tesserae.sources.html import decoded
 
 DELIMITERS, HEAD = ",;\t|", 8192
@@ -216,15 +217,8 @@ class TableStore:
         return f"{self.folder}/{topic}/{safe[0]}__{safe[1]}"
 
     def manifest(self) -> DataFrame:
-        fs, p = self._fs(f"{self.folder}/_manifest")
-        return self.spark.read.schema(self.SCHEMA).json(p.toString()) if fs.exists(p) else self.spark.createDataFrame([], self.SCHEMA)
-
-    def _write_manifest(self, rows: list) -> None:
-        temp = f"{self.folder}/_manifest.new"
-        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("overwrite").json(temp)
-        fs, p = self._fs(f"{self.folder}/_manifest")
-        fs.delete(p, True)
-        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(temp), p)
+        v = versions.newest(self.spark, f"{self.folder}/_manifest")
+        return self.spark.createDataFrame([], self.SCHEMA) if v is None else self.spark.read.schema(self.SCHEMA).json(f"{self.folder}/_manifest/v{v}")
 
     def save(self, df: DataFrame, topic: str, source: str, table_id: str = "main") -> None:
         """Rows are numbered in `_row`, so that samples and first rows stay the same whoever reads them."""
@@ -233,8 +227,9 @@ class TableStore:
         saved = self.spark.read.parquet(path)
         kinds = infer_kinds(saved, row_column="_row")
         row = (topic, source, table_id, saved.count(), [(c, kinds[c]) for c in df.columns], path)
-        rest = [tuple(r) for r in self.manifest().collect() if (r["topic_id"], r["source"], r["table_id"]) != row[:3]]
-        self._write_manifest([*rest, row])
+        new = self.spark.createDataFrame([row], self.SCHEMA)
+        rest = self.manifest().join(new, ["topic_id", "source", "table_id"], "left_anti").select(*new.columns)
+        versions.write(rest.unionByName(new).coalesce(1), f"{self.folder}/_manifest", "json")
 
     def load(self, topic: str, source: str, table_id: str = "main", rows: bool = False) -> DataFrame:
         fs, p = self._fs(self.path(topic, source, table_id))
@@ -251,12 +246,19 @@ class TableStore:
 
     def prune(self, topic: str, keep: set[tuple[str, str]]) -> list[tuple[str, str]]:
         """Deletes the topic's tables that are not kept, and files that no manifest row names."""
-        rows = [tuple(r) for r in self.manifest().collect()]
-        gone = [r for r in rows if r[0] == topic and (r[1], r[2]) not in keep]
-        self._write_manifest([r for r in rows if r not in gone])
+        rows = self.manifest()
+        gone = unkept(rows.where(F.col("topic_id") == topic), self.spark.createDataFrame(list(keep), "source string, table_id string"))
+        names = [(r["source"], r["table_id"]) for r in gone.select("source", "table_id").collect()]
+        left = rows.join(gone, ["topic_id", "source", "table_id"], "left_anti").select(*rows.columns)
+        versions.write(left.coalesce(1), f"{self.folder}/_manifest", "json")
+        named = {r["path"].rsplit("/", 1)[1] for r in self.manifest().where(F.col("topic_id") == topic).select("path").collect()}
         fs, folder = self._fs(f"{self.folder}/{topic}")
-        named = {r[5].rsplit("/", 1)[1] for r in rows if r not in gone and r[0] == topic}
         for s in fs.listStatus(folder) if fs.exists(folder) else []:
             if s.getPath().getName() not in named:
                 fs.delete(s.getPath(), True)
-        return [(r[1], r[2]) for r in gone]
+        return names
+
+
+def unkept(manifest: DataFrame, keep: DataFrame) -> DataFrame:
+    """Rows of a manifest whose source and table_id are not in keep."""
+    return manifest.join(keep, ["source", "table_id"], "left_anti").select(*manifest.columns)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import chunking, pdf, prep, profile
-from tesserae.operators.sync import ChunkStore, fingerprint, ordered_fingerprint
+from tesserae.operators.sync import ChunkStore, fingerprint, fingerprints
 from tesserae.operators.table_query import TableRequest
 from tesserae.plans.answering import Answering, Generated, QueryLog, Topic, history_text, rewrite_question, route_question, with_retries
 from tesserae.plans.ingest import ingest_topic
@@ -90,7 +90,7 @@ def test_sync(spark, tmp_path):
     assert (s.added, s.updated, s.deleted, s.protected) == (1, 1, 0, 1) and store.count("t") == 3 and fingerprint(store.chunks("t")) != mark
     s = store.sync("t", chunks(("a.md", 0, "one changed", None)))
     assert (s.unchanged, s.deleted) == (1, 2) and store.count("t") == 1
-    assert len(ordered_fingerprint(store.chunks("t")).first()["fingerprint"]) == 40
+    assert fingerprints(store.chunks("t"), "topic_id").first()["fingerprint"] == fingerprint(store.chunks("t"))
     with pytest.raises(ValueError, match="refusing"):
         store.sync("t", chunks())
     with pytest.raises(ValueError, match="another topic"):

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tesserae import queries
+from tesserae import part_queries, queries  # noqa: F401
 from tesserae.operators import retrieval
 
 from .oracle import duck_rows, spark_rows
