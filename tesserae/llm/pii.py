@@ -151,13 +151,14 @@ def personal_data(docs: DataFrame) -> DataFrame:
     found = plain.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
     entities = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))))
     seen = written(found.select("doc_id", "tid", entities.alias("entities"), sanitised(F.col("text"), F.col("base")).alias("masked")), "seen")
-    terms = written(disclosing_terms(plain, seen), "terms").withColumnRenamed("doc_id", "__of").withColumnRenamed("terms", "__terms")
-    rows = terms.agg(F.sum(F.size("__terms"))).first()[0] or 0
-    own = F.coalesce(F.col("doc_id").cast("long"), text_id()) == F.col("__of")  # so that null ids are spread over the tasks
-    out = docs.drop("base", "spans").withColumn("base", base_spans(text)).join(small(terms, rows), own & F.col("doc_id").isNotNull(), "left")
-    told = F.filter(F.array_distinct(words(text)), lambda w: F.array_contains(F.col("__terms"), F.xxhash64(w)))
-    more = let(told, lambda t: F.when(F.size(t) > 0, F.array_sort(F.concat("base", _term_spans(text, t, F.col("base"))))).otherwise(F.col("base")))
-    return out.withColumn("spans", F.when(F.col("__terms").isNull(), F.col("base")).otherwise(more)).drop("__of", "__terms")
+    terms = written(disclosing_terms(plain, seen), "terms").withColumnRenamed("doc_id", "of")
+    own = F.coalesce(F.col("doc_id"), F.col("tid")) == F.col("of")  # so that null ids are spread over the tasks
+    kept = [c for c in docs.columns if c not in ("base", "spans")]
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in kept)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_id().alias("tid"))  # so that no name clashes
+    out = rows.withColumn("base", base_spans(F.col("text"))).join(small(terms), own & F.col("doc_id").isNotNull(), "left")
+    told = F.filter(F.array_distinct(words(F.col("text"))), lambda w: F.array_contains(F.col("terms"), F.xxhash64(w)))
+    more = let(told, lambda t: F.when(F.size(t) > 0, F.array_sort(F.concat("base", _term_spans(F.col("text"), t, F.col("base"))))).otherwise(F.col("base")))
+    return out.select("row.*", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(more).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tesserae.llm import bpe_codec, chunk_dedup, components, decontaminate, gear, lang_id, near_dup, pii, quality, queries, sharding, suffix_dedup, textbytes, token_store, tokenizer
+from tesserae.llm import bpe_codec, chunk_dedup, components, decontaminate, gear, lang_id, near_dup, pii, quality, queries, sharding, suffix_dedup, textbytes, token_store, tokenizer, work
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -64,6 +64,20 @@ def test_near_duplicates_of_a_group_without_a_hub(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, 3, 85).collect()} == want
 
 
+@pytest.mark.parametrize(("few", "rounds"), [(0, 40), (0, 1), (16, 0)])
+def test_near_duplicates_by_rounds_of_hubs(spark, monkeypatch, few, rounds):
+    """However many rounds of hubs come before the rest is settled at once, the components are the same."""
+    monkeypatch.setattr(near_dup, "FEW", few)
+    monkeypatch.setattr(near_dup, "ROUNDS", rounds)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base[j // 2 :] + [f"t{i}" for i in range(j // 2)]) for j in range(90)] + [" ".join([f"v{i}" for i in range(20)] + [f"z{j}"] * 3 + [f"v{i}" for i in range(20, 140)]) for j in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t, 3) for t in texts]
+    links = [(a, b) for a in range(130) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = roots(range(130), links)
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, 3, 85).collect()} == want and len(set(want.values())) > 1
+
+
 def test_estimate_is_corrected_for_chance(spark):
     a, b = " ".join(f"a{i}" for i in range(1000)), " ".join(f"a{i}" if i < 900 else f"b{i}" for i in range(1000))
     sig = {r["doc_id"]: r["sig"] for r in near_dup.signatures(spark.createDataFrame([(1, a), (2, b), (3, " ".join(f"c{i}" for i in range(900)))], "doc_id long, text string"), 1, 0.8).collect()}
@@ -148,6 +162,18 @@ def test_quality_verdict_keeps_clean_documents(spark, sf_dir):
     assert n.get((1, False), 0) == 0 and n.get((0, False), 0) >= 5 * n.get((0, True), 0)
 
 
+def test_quality_verdict_on_strange_words(spark, sf_dir):
+    """Texts of 100 words or more without a common word, or in another language than they say, go; those of the language stay."""
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text", "lang")
+    good = quality.judged(docs).where("kept and n_words >= 120").join(docs, "doc_id")
+    german = good.where("lang = 'de'").selectExpr("doc_id + 100000 as doc_id", "text", "'en' as lang")
+    common = {r["l"]: r["list"] for r in quality.common_words(docs).collect()}
+    assert {"the", "of", "and"} <= set(common["en"]) and {"der", "die", "und"} <= set(common["de"])
+    bare = good.where("lang = 'en' and doc_id % 9 = 0").selectExpr("doc_id + 200000 as doc_id", rf"regexp_replace(text, '(?i)\\b({'|'.join(common['en'])})\\b', concat('x', doc_id)) as text", "lang")
+    got = quality.judged(docs.unionByName(german).unionByName(bare)).where("doc_id >= 100000 and not base_failed").selectExpr("doc_id >= 200000 as bare", "kept").groupBy("bare").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    assert len(got) == 2 and all(r["n"] > 20 and r["kept"] < 0.1 for r in got)
+
+
 def removed_by_windows(rows, length):
     places = defaultdict(list)
     for r, (_, t) in enumerate(rows):
@@ -175,10 +201,21 @@ def digest_of(rows, gone):
 def test_suffix_dedup(both, length, hot):
     rows = rows_of(both.where("doc_id < 1060 or doc_id is null or doc_id >= 1150"))
     docs = both.where("doc_id < 1060 or doc_id is null or doc_id >= 1150")
-    got = queries.removal(suffix_dedup.cut(docs, suffix_dedup.repeated_spans(docs, length, hot))).collect()
+    got = queries.removal(suffix_dedup.cut(docs, work.written(suffix_dedup.merged_spans(suffix_dedup.repeated_spans(docs, length, hot)), "spans"))).collect()
     assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == digest_of(rows, removed_by_windows(rows, length))
 
 
+@pytest.mark.parametrize("broadcast", [16 << 20, 0])
+def test_removal_and_passages(both, monkeypatch, broadcast):
+    """What is removed and what is counted as a passage, with and without broadcast joins."""
+    monkeypatch.setattr(work, "BROADCAST_BYTES", broadcast)
+    docs = both.where("doc_id < 1060 or doc_id is null or doc_id >= 1150")
+    rows = rows_of(docs)
+    got = queries.removal(suffix_dedup.remove_repeats(docs, 400, 120), "passage_bytes").collect()
+    long_, short = removed_by_windows(rows, 400), removed_by_windows(rows, 120)
+    assert Counter((r["doc_id"], r["n_removed"], r["kept_sha256"], r["passage_bytes"]) for r in got) == Counter((d, int(g.sum()), hashlib.sha256(bytes(np.frombuffer(t.encode(), np.uint8)[~g])).hexdigest(), int(x.sum())) for (d, t), g, x in zip(rows, long_, short))
+
+
 def test_suffix_order_rounds():
     """Fragments of one core: which windows recur at the same place."""
     rng = np.random.default_rng(3)
