@@ -60,3 +60,33 @@ def select_figures(figures: DataFrame, most: int = 25, least_side: int = 50, log
     f = f.withColumn("r", F.row_number().over(Window.partitionBy("doc", "digest").orderBy("page", "seq"))).where("r = 1")
     f = f.withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc(F.col("width") * F.col("height")), "page", "seq"))).where(F.col("r") <= most)
     return f.withColumn("number", F.row_number().over(Window.partitionBy("doc", "page").orderBy("seq"))).drop("r")
+
+
+def tidy_tables(cells: DataFrame, least_columns: int = 2, least_filled: float = 0.5) -> DataFrame:
+    """(doc, page, table, row, col, name, text, number) of the filled cells of what looks like a table.
+
+    cells has doc, page, table, row, col, text; row 0 is the head. Empty rows and columns go, and rows and columns are
+    numbered anew from 1. Two columns, one row and half of all cells filled make a table. Names that a backend made
+    unique by a place in front (`0-Name`, `1-Name`) get it taken off where two columns so have one name; names that
+    stand more than once are numbered from the second on, missing ones become `column n`. A column has numbers if every
+    filled cell is a plain number, and none has zeros in front, as codes do.
+    """
+    one = ["doc", "page", "table"]
+    text = F.nullif(F.btrim(F.regexp_replace("text", r"\s+", " ")), F.lit(""))
+    c = cells.select(*one, "row", "col", text.alias("text"))
+    body = c.where("row > 0 and text is not null")
+    body = body.withColumn("r", F.dense_rank().over(Window.partitionBy(*one).orderBy("row"))).withColumn("k", F.dense_rank().over(Window.partitionBy(*one).orderBy("col")))
+    whole = body.groupBy(*one).agg(F.max("r").alias("rows"), F.max("k").alias("columns"), F.count("*").alias("filled"))
+    real = whole.where((F.col("columns") >= least_columns) & (F.col("filled") >= least_filled * F.col("rows") * F.col("columns"))).select(*one)
+    number = F.regexp_replace("text", "[, ]", "")
+    plain = number.rlike(r"^-?\d+(\.\d+)?$") & ~number.rlike(r"^-?0\d")
+    by_column = body.groupBy(*one, "col").agg(F.max("k").alias("k"), F.bool_and(plain).alias("numeric"))
+    heads = by_column.join(c.where("row = 0").select(*one, "col", F.col("text").alias("head")), [*one, "col"], "left")
+    bare = F.regexp_replace("head", r"^\d+-", "")
+    same = F.count("head").over(Window.partitionBy(*one, bare))
+    marked = F.min((F.col("head") != bare).cast("int")).over(Window.partitionBy(*one, bare)) == 1
+    heads = heads.withColumn("name", F.when((same > 1) & marked, bare).otherwise(F.col("head")))
+    nth = F.row_number().over(Window.partitionBy(*one, "name").orderBy("col"))
+    heads = heads.withColumn("nth", nth).withColumn("name", F.when(F.col("name").isNull(), F.concat(F.lit("column "), "k")).when(F.col("nth") > 1, F.concat("name", F.lit("_"), "nth")).otherwise(F.col("name")))
+    out = body.join(real, one, "left_semi").join(heads.select(*one, "col", "name", "numeric"), [*one, "col"])
+    return out.select(*one, F.col("r").alias("row"), F.col("k").alias("col"), "name", "text", F.when(F.col("numeric"), number.try_cast("double")).alias("number"))

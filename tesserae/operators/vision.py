@@ -47,3 +47,33 @@ def image_records(images: DataFrame) -> DataFrame:
     none = lambda t="string": F.lit(None).cast(t)
     rows = images.select("topic_id", "source", F.lit(0).alias("ordinal"), text.alias("text"), F.lit("image").alias("modality"), none("int").alias("page"), none().alias("table_id"), none().alias("part"), F.col("source").alias("image_path"), none().alias("heading"))
     return rows.where("text <> ''")
+
+#: Sides in pixels: the least of a picture that is looked at, and the most that is sent on.
+LEAST_SIDE, MOST_SIDE = 16, 2000
+
+
+def fitted(width: Column, height: Column, alpha: Column) -> Column:
+    """Struct (ok, width, height, mime) of the picture that an analyzer gets: too small ones are not ok, larger ones are
+    scaled down to MOST_SIDE, and those that may be seen through stay PNG."""
+    scale = F.least(F.lit(1.0), F.lit(float(MOST_SIDE)) / F.greatest(width, height, F.lit(1)))
+    side = lambda x: F.greatest(F.floor(x * scale + 0.5), F.lit(1)).cast("int")
+    return F.struct((F.least(width, height) >= LEAST_SIDE).alias("ok"), side(width).alias("width"), side(height).alias("height"), F.when(alpha, "image/png").otherwise("image/jpeg").alias("mime"))
+
+
+def image_reader(cache: str, analyzer: Callable[[bytes, str], dict], model: str, prompt_version: str, prepare: Callable[[bytes], tuple[bytes, str]] | None = None) -> Callable:
+    """A reader of picture files for ingest_topic(): prepared by `prepare` (content to content and mime), analyzed behind the cache."""
+
+    def read(spark, path: str, topic: str, source: str) -> DataFrame:
+        kind = F.when(F.hex(F.substring("content", 1, 4)) == "89504E47", "image/png").when(F.hex(F.substring("content", 1, 2)) == "FFD8", "image/jpeg").otherwise("image/webp")
+        images = spark.read.format("binaryFile").load(path).select(F.lit(topic).alias("topic_id"), F.lit(source).alias("source"), "content", kind.alias("mime"))
+        if prepare is not None:
+
+            @F.pandas_udf("struct<content:binary,mime:string>")
+            def prepared(content: pd.Series) -> pd.DataFrame:
+                return pd.DataFrame([prepare(bytes(c)) for c in content], columns=["content", "mime"])
+
+            images = images.select("topic_id", "source", prepared("content").alias("p")).select("topic_id", "source", "p.*")
+        images = images.withColumn("sha1", F.sha1("content"))
+        return image_records(analyze(images, cache, analyzer, model, prompt_version))
+
+    return read

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
-from tesserae.operators import chunking, citations, metrics, pdf, prep, profile, retrieval, spelling
+from tesserae.operators import chunking, citations, metrics, pdf, prep, profile, retrieval, spelling, vision
 from tesserae.operators.kinds import infer_kinds
 from tesserae.queries import _FOLD, _union, calculated, query, read
 from tesserae.sources.html import sections_udf
@@ -400,3 +400,26 @@ def prep_without_fields(spark, sf_dir):
 def prep_parsed_total(spark, sf_dir):
     text = F.concat(F.when(F.col("o_orderkey") % 5 == 0, "$").otherwise(""), F.format_string("%.2f", "o_totalprice"))
     return prep.parsed_total(read(spark, sf_dir, "orders").select(text.alias("total")), "total").select(F.round("total", 2).alias("total"), "left_out")
+
+
+@query(
+    "with c as (select p_brand as doc, p_size as page, p_partkey as t from part where p_partkey % 3 <> 0), v as (select doc, page, t, 1 as col, 'Name' as name, 'part ' || t as text, null::double as number from c union all select doc, page, t, 2, 'Name_2', 'x ' || page, null from c "
+    "union all select doc, page, t, 3, 'code', lpad((t % 90 + 1)::varchar, 3, '0'), null from c union all select doc, page, t, 4, 'column 4', '1,' || (100 + t % 800) || '.5', 1000 + (100 + t % 800) + 0.5 from c) "
+    "select t, 1 as row, col, name, text, number from v"
+)
+def tables_tidied(spark, sf_dir):
+    """One table of each part that has a row with enough in it: repeated and missing names, codes, amounts, an empty row and an empty column."""
+    p, t = read(spark, sf_dir, "part"), F.col("p_partkey")
+    head = F.array(*(F.lit(x) for x in ("0-Name", "empty", "1-Name", "code", None)))
+    full = F.array(F.concat(F.lit("part "), t), F.lit(" "), F.concat(F.lit("x \n "), F.col("p_size")), F.lpad((t % 90 + 1).cast("string"), 3, "0"), F.concat(F.lit("1,"), 100 + t % 800, F.lit(".5")))
+    some = F.array(*(F.lit(None).cast("string") for _ in range(4)), F.lit("alone"))
+    rows = F.array(head, F.when(t % 3 != 0, full).otherwise(some), F.array(*(F.lit("") for _ in range(5))))
+    cells = p.select(F.col("p_brand").alias("doc"), F.col("p_size").alias("page"), t.alias("table"), F.posexplode(rows).alias("row", "r")).select("doc", "page", "table", "row", F.posexplode("r").alias("col", "text"))
+    return pdf.tidy_tables(cells).select(F.col("table").alias("t"), "row", "col", "name", "text", "number")
+
+
+@query("select p_partkey, least(w, h) >= 16 as ok, greatest(floor(w * s + 0.5), 1)::int as width, greatest(floor(h * s + 0.5), 1)::int as height, case when p_partkey % 2 = 0 then 'image/png' else 'image/jpeg' end as mime from (select p_partkey, w, h, least(1.0, 2000.0 / greatest(w, h, 1)) as s from (select p_partkey, (p_size * 97)::double as w, (p_retailprice * 2)::int::double as h from part))")
+def pictures_fitted(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    f = vision.fitted((F.col("p_size") * 97).cast("double"), F.round(F.col("p_retailprice") * 2).cast("int").cast("double"), F.col("p_partkey") % 2 == 0)
+    return p.select("p_partkey", f.alias("f")).select("p_partkey", "f.*")

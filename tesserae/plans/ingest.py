@@ -45,7 +45,9 @@ def ingest_topic(spark: SparkSession, data_dir: str, topic: str, chunks: ChunkSt
                     kept.add((r["source"], id_))
                     records.append(table_records(tables.load(topic, r["source"], id_, rows=True), topic, r["source"], id_))
             elif readers and r["kind"] in readers:
-                records.append(readers[r["kind"]](spark, path, topic, r["source"]))
+                read = readers[r["kind"]](spark, path, topic, r["source"])
+                kept |= {(r["source"], t["table_id"]) for t in read.where("table_id is not null").select("table_id").distinct().collect()}
+                records.append(read)
             else:
                 raise RuntimeError(f"no backend reads {r['kind']} files")
         except Exception as e:
