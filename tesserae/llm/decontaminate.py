@@ -3,9 +3,12 @@
 A short item inside a long document has a tiny Jaccard similarity with it, so comparing both sides' minima finds
 nothing. As in an LSH ensemble (Zhu et al., 2016) the search is by containment and by partitions of size, here of the
 items: an item's minima are looked up among all of the document's shingles, and the part that is found estimates the
-containment itself, without regard to the document's length. Partitions of up to N_MINIMA shingles take every shingle
-as a minimum; larger ones take N_MINIMA. Pairs whose estimate is FLOOR or more (at the threshold of 0.8 fewer than one
-in 10**9 pairs lie under it) are verified by the exact share of the item's distinct shingles that the document has.
+containment itself, without regard to the document's length. A partition holds the items whose number of shingles has
+one power of 2. Below ALL shingles every shingle is a minimum, and the estimate is the containment. Each partition above
+takes more minima than the one before, as longer items meet more documents by chance, up to MOST. The minima of an item
+are drawn by independent hashes, so those found are binomial; each partition's floor is the greatest share that a pair
+right at the threshold falls short of with a probability of MISS at most. Pairs that reach the floor are verified by the
+exact share of the item's distinct shingles that the document has.
 
 Document shingles meet the minima in a broadcast join if these are few, else in a shuffled join; no row of a
 document leaves its task unless it has found a minimum. Hits are grouped by document and item, never by item alone.
@@ -17,12 +20,15 @@ gives none; other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.work import small, written
 
-N_MINIMA, FLOOR = 24, 0.25
+#: Shingles below which all are minima; minima of the first partition above and of the last; the chance to lose a pair.
+ALL, FIRST, STEP, MOST, MISS = 32, 24, 4, 48, 1e-9
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -51,22 +57,36 @@ def item_sets(items: DataFrame, k: int) -> DataFrame:
     return g.where("item_id is not null").groupBy("item_id").agg(F.collect_set("g").alias("g")).withColumn("n", F.size("g"))
 
 
-def minima(sets: DataFrame) -> DataFrame:
-    """(item_id, part, g, weight): weight is the share of the item's minima that fall on shingle g. part is its size's power of 2."""
+def floor_of(m: int, share: float) -> float:
+    """The share of m minima that are found with a probability of all but MISS, if each is with that of `share`."""
+    below = 0.0
+    for k in range(m + 1):
+        below += math.comb(m, k) * share**k * (1 - share) ** (m - k)
+        if below > MISS:
+            return k / m
+    return 1.0
+
+
+def minima(sets: DataFrame, percent: int) -> DataFrame:
+    """(item_id, g, weight, floor): weight is the share of the item's minima that fall on shingle g, floor its partition's."""
     part = F.floor(F.log2("n")).cast("int")
-    hashed = F.transform(F.sequence(F.lit(1), F.lit(N_MINIMA)), lambda j: F.array_min(F.transform("g", lambda x: F.struct(F.xxhash64(x, j).alias("h"), x.alias("g"))))["g"])
-    taken = sets.select("item_id", part.alias("part"), F.explode(F.when(F.col("n") <= N_MINIMA, F.col("g")).otherwise(hashed)).alias("g"), F.when(F.col("n") <= N_MINIMA, F.col("n")).otherwise(N_MINIMA).alias("all"))
-    return taken.groupBy("item_id", "part", "g").agg((F.count("*") / F.max("all")).alias("weight"))
+    many = F.least(F.lit(FIRST) + STEP * (part - (ALL.bit_length() - 1)), F.lit(MOST))
+    hashed = F.transform(F.sequence(F.lit(1), F.col("m")), lambda j: F.array_min(F.transform("g", lambda x: F.struct(F.xxhash64(x, j).alias("h"), x.alias("g"))))["g"])
+    floors = F.create_map(*[F.lit(x) for m in range(FIRST, MOST + 1) for x in (m, floor_of(m, percent / 100))])
+    taken = sets.withColumn("m", F.when(F.col("n") < ALL, F.col("n")).otherwise(many))
+    taken = taken.select("item_id", "n", "m", F.explode(F.when(F.col("n") < ALL, F.col("g")).otherwise(hashed)).alias("g"))
+    floor = F.when(F.col("n") < ALL, percent / 100).otherwise(floors[F.col("m")])
+    return taken.groupBy("item_id", "g").agg((F.count("*") / F.max("m")).alias("weight"), F.max(floor).alias("floor"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of each pair where the document has that share of the item."""
     sets = written(item_sets(items, k), "items")
-    keys = written(minima(sets), "minima")
+    keys = written(minima(sets, percent), "minima")
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     met = texts.select("doc_id", F.explode(shingles(F.col("text"), k)).alias("g")).join(small(keys), "g")
-    found = met.groupBy("doc_id", "item_id", "g").agg(F.max("weight").alias("weight")).groupBy("doc_id", "item_id").agg(F.sum("weight").alias("estimate"))
-    pairs = written(found.where(F.col("estimate") >= FLOOR).select("doc_id", "item_id"), "pairs")
+    found = met.groupBy("doc_id", "item_id", "g").agg(F.max("weight").alias("weight"), F.max("floor").alias("floor")).groupBy("doc_id", "item_id").agg(F.sum("weight").alias("estimate"), F.max("floor").alias("floor"))
+    pairs = written(found.where(F.col("estimate") >= F.col("floor") - 1e-9).select("doc_id", "item_id"), "pairs")
 
     ids = pairs.select("doc_id").distinct()
     own = texts.join(small(ids), "doc_id", "left_semi").select("doc_id", shingles(F.col("text"), k).alias("own"))
