@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm.quality import CLASSES, COMMON, MIN_CHARS, MIN_WORDS, MOST_CLASSES, MOST_COMMON, N_COMMON
+from tesserae.llm.quality import CLASSES, MIN_CHARS, MIN_WORDS, MOST_CLASSES, N_COMMON, NOISE
 
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -65,9 +65,12 @@ def quality(source: str = "documents") -> str:
         taken.append(f"length({before}) - length(left{i}) as c{i}")
         before = f"left{i}"
     taken.append(f"length({before}) as c{len(CLASSES)}")
-    lists = "map {" + ", ".join(f"'{lang}': {ws}" for lang, ws in COMMON.items()) + "}"
-    common = [f"case when known is null then 0 else len(list_filter(w, lambda x: x = known[{i + 1}])) end as w{i}" for i in range(N_COMMON)]
-    common.append(f"case when known is null then 0 else len(w) - len(list_filter(w, lambda x: list_contains(known, x))) end as w{N_COMMON}")
+    common = [f"len(list_filter(w, lambda x: x = known[{i + 1}])) as w{i}" for i in range(N_COMMON)]
+    common.append(f"len(w) - len(list_filter(w, lambda x: list_contains(known, x))) as w{N_COMMON}")
+    words = "+".join(f"q_w{i}" for i in range(N_COMMON + 1))
+    share = f"(q_w{N_COMMON}::double / nullif({words}, 0))"
+    most = f"sqrt(greatest((0.5 * ln(2 / (1 + {share})) + 0.5 * ((1 - {share}) * ln(2.0) + case when {share} > 0 then {share} * ln(2 * {share} / (1 + {share})) else 0 end)) / ln(2.0), 0))"
+    chance = f"({NOISE!r} / sqrt(n_words::double))"
 
     def distance(kind: str) -> str:
         cols = [c for c in names if c[0] == kind]
@@ -82,11 +85,14 @@ def quality(source: str = "documents") -> str:
     def compared(i: int) -> str:
         good = "ql_b where not base_failed" if i == 1 else "ql_j1 where not base_failed and not diverges"
         return f"""ql_q{i} as (select lang, {', '.join(f'sum({c})::double as q_{c}' for c in names)} from {good} group by lang),
-ql_d{i} as (select ql_b.*, {distance('c')} as class_distance, {distance('w')} as common_distance from ql_b left join ql_q{i} using (lang)),
-ql_j{i} as (select *, ({'+'.join(c for c in names if c[0] == 'c')} >= {MIN_CHARS} and class_distance > {MOST_CLASSES}) or (n_words >= {MIN_WORDS} and common_distance > {MOST_COMMON}) as diverges from ql_d{i}),"""
+ql_d{i} as (select ql_b.*, {distance('c')} as class_distance, {distance('w')} as common_distance, {most} as most from ql_b left join ql_q{i} using (lang)),
+ql_j{i} as (select *, ({'+'.join(c for c in names if c[0] == 'c')} >= {MIN_CHARS} and class_distance > {MOST_CLASSES}) or coalesce(n_words >= {MIN_WORDS} and 2 * {chance} <= most and common_distance > ({chance} + 2 * most) / 3, false) as diverges from ql_d{i}),"""
 
     return f"""ql_t as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text from {source}),
-ql_w as (select *, {_WORDS.format('text')} as w, {lists}[lang] as known from ql_t),
+ql_x as (select *, {_WORDS.format('text')} as w from ql_t),
+ql_g as (select lang, g, count(*) as n from (select lang, unnest(w) as g from ql_x) where regexp_matches(g, '^\\p{{L}}+$') group by 1, 2),
+ql_k as (select lang, list(g order by n desc, g) as known from (select *, row_number() over (partition by lang order by n desc, g) as r from ql_g) where r <= {N_COMMON} group by lang),
+ql_w as (select ql_x.*, coalesce(known, []) as known from ql_x left join ql_k using (lang)),
 ql_v as (select doc_id, unnest(range(1, len(w) - 3)) as i, w from ql_w where len(w) >= 5),
 ql_h as (select doc_id, i, hash(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) as g from ql_v),
 ql_m as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as k from ql_h) where k > 1),
