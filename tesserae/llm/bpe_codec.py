@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.gear import gear_hash
 from tesserae.llm.textbytes import LOWER, gathered, text_slices
 from tesserae.llm.tokenizer import WordIds, kind_changes
+from tesserae.llm.work import in_arrow
 
 #: A chunk border on average every so many bytes (a power of 2).
 CHUNK = 1024
@@ -151,4 +152,4 @@ def encode_decode(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
                 out = [batch.column(0).slice(at, len(sizes)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays(out + [own.decode(ids, sizes)] * decode, ["doc_id", "ids"] + ["decoded"] * decode)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, ids array<int>" + ", decoded string" * decode)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, ids array<int>" + ", decoded string" * decode)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.textbytes import U64, list_array, text_slices
 from tesserae.llm.tokenizer import byte_level, byte_level_spans
-from tesserae.llm.work import dropped, new_path, small, written
+from tesserae.llm.work import dropped, in_arrow, new_path, small, written
 
 SCALE, LANES, CHECKPOINT = 20, 1024, 64
 #: Tokens after which a block is closed, at the end of a document.
@@ -101,6 +101,13 @@ def pack(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, freq: np.ndarray, fi
     return head + b"".join(p.tobytes() for p in [*parts, words.astype("<u4")])
 
 
+def documents_of(payload: bytes) -> tuple[list, np.ndarray]:
+    """doc_ids and sizes of a block, from its head alone."""
+    docs, at = _HEAD.unpack_from(payload)[3], _HEAD.size
+    ids, null = np.frombuffer(payload, "<i8", docs, at), np.frombuffer(payload, "u1", docs, at + 8 * docs)
+    return [None if z else x for x, z in zip(ids.tolist(), null.tolist())], np.frombuffer(payload, "<u4", docs, at + 9 * docs)
+
+
 def unpack(payload: bytes, symbol: np.ndarray, freq: np.ndarray, first: np.ndarray, part: int | None = None) -> tuple[list, np.ndarray, np.ndarray]:
     """doc_ids, sizes and ids of a block. With a part, only the ids between that checkpoint and the next are decoded."""
     magic, lanes, every, docs, n, n_words, crc = _HEAD.unpack_from(payload)
@@ -170,7 +177,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     order = ["doc_id", "crc"]
     ordered = docs.select(F.col("doc_id").cast("long"), "text", F.crc32(F.col("text").cast("binary")).alias("crc")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    return ordered.select("doc_id", "text").mapInArrow(rows, TOKENS)
+    return in_arrow(ordered.select("doc_id", "text"), rows, TOKENS)
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int = 0, to: str | None = None) -> str:
@@ -189,7 +196,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, to: str | None = N
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], ["id", "n"])
 
-    total = tokens.select("ids").mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    total = in_arrow(tokens.select("ids"), counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(vocab, np.int64)  # one number for each id of the vocabulary, whatever the size of the input
     for id_, n in total.collect():
         counts[id_] = n
@@ -208,18 +215,54 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, to: str | None = N
                 types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["file", "block", "before", "n_docs", "n_tokens", "payload"])
 
-    tokens.mapInArrow(coded, BLOCKS).write.option("compression", "none").parquet(f"{to}/blocks")
+    in_arrow(tokens, coded, BLOCKS).write.option("compression", "none").parquet(f"{to}/blocks")
     dropped(tokens)
     return to
 
 
-def read_tokens(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids array<int>) of each document, decoded from the files."""
+def _frequencies(spark: SparkSession, folder: str) -> np.ndarray:
     rows = spark.read.parquet(f"{folder}/table").collect()  # the vocabulary at most
     freq = np.zeros(max([0, *(r["id"] for r in rows)]) + 1, U64)
     for r in rows:
         freq[r["id"]] = r["freq"]
-    shared = spark.sparkContext.broadcast(freq)
+    return freq
+
+
+def read_documents(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids array<int>) of the wanted doc_ids. Of a block only the parts between checkpoints that hold them are decoded."""
+    shared = spark.sparkContext.broadcast(_frequencies(spark, folder))
+    blocks = spark.read.parquet(f"{folder}/blocks")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, block, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                names, sizes = documents_of(payload)
+                at = np.cumsum(sizes, dtype=np.int64) - sizes
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([file] * len(names), pa.int32()), pa.array([block] * len(names), pa.int32()), pa.array(at), pa.array(sizes.astype(np.int64))], ["doc_id", "file", "block", "at", "n"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freq = shared.value
+        first = np.cumsum(freq, dtype=U64) - freq
+        symbol, size = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64)), CHECKPOINT * LANES
+        for batch in batches:
+            for payload, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                need = {k for p in places for k in range(p["at"] // size, (p["at"] + p["n"] - 1) // size + 1)}
+                got = {k: unpack(payload, symbol, freq, first, k)[2] for k in sorted(need)}
+                ids = []
+                for p in places:
+                    run = range(p["at"] // size, (p["at"] + p["n"] - 1) // size + 1)
+                    ids.append(np.concatenate([got[k] for k in run])[p["at"] - run[0] * size :][: p["n"]].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([p["doc_id"] for p in places], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    index = in_arrow(blocks.select("file", "block", "payload"), listed, "doc_id long, file int, block int, at long, n long")
+    places = index.join(wanted.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
+    places = places.groupBy("file", "block").agg(F.collect_list(F.struct("doc_id", "at", "n")).alias("places"))  # of one block's documents
+    return in_arrow(blocks.join(places, ["file", "block"]).select("payload", "places"), parts, "doc_id long, ids array<int>")
+
+
+def read_tokens(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids array<int>) of each document, decoded from the files."""
+    shared = spark.sparkContext.broadcast(_frequencies(spark, folder))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = shared.value
@@ -235,7 +278,7 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame
                 yield pa.RecordBatch.from_arrays(out + [list_array(got.astype(np.int32), ends, pa.int32())] * ids, ["file", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
     blocks = spark.read.parquet(f"{folder}/blocks")
-    docs = blocks.select("file", "before", "payload").mapInArrow(decoded, "file int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
+    docs = in_arrow(blocks.select("file", "before", "payload"), decoded, "file int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
     files = blocks.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # a row for each task of the range exchange
     files = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
     out = docs.join(small(files), "file")
