@@ -1,6 +1,7 @@
 """Each operator against a plain brute-force version, on the driver's small table and on rows made to be awkward."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -279,6 +280,75 @@ def test_disclosing_terms_of_rare_entities(spark):
     assert all("Ogilvy" not in terms[3000 + i] for i in range(4)) and all("Bartleby" not in terms[4000 + i] for i in range(8))
 
 
+def told_terms(rows):
+    """For each doc_id the words that disclose one of its entities, by plain counting over all texts."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+    texts = sorted({t for _, t in rows})
+    n = len(texts)
+    n_t = Counter(w for t in texts for w in set(words(t)))
+    places, entities = {}, {}
+    for t in texts:
+        spans, out, at = base_spans(t), "", 0
+        for a, k, b in spans:
+            if a >= at:
+                out += t[at:a] + ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]"][k]
+            at = max(at, b)
+        masked = words(out + t[at:])
+        entities[t] = {(k, t[a:b].lower()) for a, k, b in spans}
+        pad = [None, None, *masked, None, None]
+        places[t] = [(w, (*pad[i : i + 2], *pad[i + 3 : i + 5])) for i, w in enumerate(masked)] if spans else []
+    own = defaultdict(list)
+    for t in texts:
+        for e in entities[t]:
+            own[e].append(t)
+
+    def log_chance(k, draws, share):
+        a = k / draws
+        return -draws * (a * math.log(a / share) + ((1 - a) * math.log((1 - a) / (1 - share)) if a < 1 else 0.0))
+
+    told = defaultdict(set)
+    for e, mine in own.items():
+        n_e, tests = len(mine), sum(len({w for w, _ in places[t]}) for t in mine)
+        least = (n_e / n) ** (1 - pii.ALPHA)
+        texts_of, contexts = defaultdict(set), defaultdict(set)
+        for t in mine:
+            for w, c in places[t]:
+                texts_of[w].add(t)
+                contexts[w].add(c)
+        for w, ts in texts_of.items():
+            if w not in n_t or n_t[w] > n_e / least + 1:
+                continue
+            te = min(len(ts), len(contexts[w]))
+            t = n_t[w] - len(ts) + te
+            if te / t < least or te / t <= n_e / n:
+                continue
+            chance = log_chance(te, t, n_e / n)
+            if te / n_e > t / n:
+                chance = min(chance, log_chance(te, n_e, t / n))
+            if chance + math.log(tests) <= math.log(pii.LEVEL):
+                told[e].add(w)
+    out = defaultdict(set)
+    for d, t in rows:
+        if d is not None:
+            out[d] |= {w for e in entities[t] for w in told[e]}
+    return out
+
+
+def test_spans_of_terms(spark, sf_dir):
+    """All spans, those of disclosing terms included, against plain counting over a whole table."""
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text")
+    more = [(9000 + i, f"Quimby wrote {i} times {'so ' * i}to quimby@x.org and signed Quimby") for i in range(6)] + [(9100, "once only@here.org said zyx"), (None, "nobody@x.org"), (9100, "once only@here.org said zyx")]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows, kinds = rows_of(docs), ["email", "ip", "card", "phone", "term"]
+    terms, want = told_terms(rows), Counter()
+    for d, t in rows:
+        base = base_spans(t)
+        found = [(m.start(), 4, m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t) if d is not None and m[0].lower() in terms[d] and not any(a < m.end() and m.start() < b for a, _, b in base)] if base else []
+        want[d, ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(base + found))] += 1
+    got = Counter((r["doc_id"], r["spans"]) for r in pii.digest(pii.personal_data(docs)).collect())
+    assert got == want and sum("term" in s for _, s in got) > 5
+
+
 def slow_borders(b):
     h, hashes = 0, []
     for c in b:
@@ -337,6 +407,72 @@ def test_language_identification(spark, sf_dir, odd):
     assert np.count_nonzero(model[2]) < model[2].size / 2  # sparse
 
 
+def slow_grams(text):
+    c, out, mask = [ord(x) for x in text.lower()], [], (1 << 64) - 1
+    h = [0] * len(c)
+    for n in range(1, lang_id.GRAMS + 1):
+        h = [((h[i] + c[i + n - 1] + n) * 0x9E3779B97F4A7C15) & mask for i in range(len(c) - n + 1)]
+        h = [x ^ (x >> 31) for x in h]
+        out += [(x >> 7) & (lang_id.FEATURES - 1) for x in h]
+    return out
+
+
+def test_language_model_by_plain_steps(spark, sf_dir):
+    """The fit and the predictions against follow-the-regularised-leader over dicts, one weight at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 1500")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    learned = sorted(((d, t, lang) for d, t, lang in rows if lang is not None and zlib.crc32(str(d).encode()) % 5), key=lambda r: (lang_id.hash_of(r[0]), r[0]))
+    langs = sorted({r[2] for r in learned})
+    counts = {t: Counter(slow_grams(t)) for _, t, _ in rows}
+    df = Counter(g for _, t, _ in learned for g in counts[t])
+    idf = lambda g: math.log((1 + len(learned)) / (1 + df[g])) + 1
+
+    def vector(t):
+        x = {g: (1 + math.log(k)) * idf(g) for g, k in counts[t].items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {g: v / size for g, v in x.items()}
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(g, k):
+        v = z[g, k]
+        return 0.0 if abs(v) <= lang_id.L1 else -(v - math.copysign(lang_id.L1, v)) / ((lang_id.BETA + math.sqrt(n[g, k])) / lang_id.ALPHA + lang_id.L2)
+
+    def shares(x, t=1.0):
+        score = [sum(v * weight(g, k) for g, v in x.items()) / t for k in range(len(langs))]
+        e = [math.exp(s - max(score)) for s in score]
+        return [v / sum(e) for v in e]
+
+    vectors = [vector(t) | {"one": 1.0} for _, t, _ in learned]
+    for _ in range(lang_id.EPOCHS):
+        for i, x in enumerate(vectors):
+            if i % 5:
+                p, y = shares(x), langs.index(learned[i][2])
+                for g, v in x.items():
+                    for k in range(len(langs)):
+                        w, grad = weight(g, k), v * (p[k] - (k == y))
+                        sigma = (math.sqrt(n[g, k] + grad * grad) - math.sqrt(n[g, k])) / lang_id.ALPHA
+                        z[g, k] += grad - sigma * w
+                        n[g, k] += grad * grad
+    held = [(vectors[i], langs.index(learned[i][2])) for i in range(0, len(vectors), 5)]
+    steps = [math.exp(math.log(0.05) + i / 59 * (math.log(5) - math.log(0.05))) for i in range(60)]
+    best = min(steps, key=lambda t: -sum(math.log(shares(x, t)[y] + 1e-12) for x, y in held))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in lang_id.identify(docs).collect()}
+    for d, t, _ in rows:
+        if any(map(str.isalpha, t or "")):
+            p = shares(vector(t) | {"one": 1.0}, best)
+            assert got[d][0] == langs[p.index(max(p))] and abs(got[d][1] - max(p)) < 1e-3
+
+
+def test_many_languages(spark, monkeypatch):
+    """Every language is learned, rare ones too; more than the bound are refused."""
+    docs = spark.createDataFrame([(i, f"{chr(97 + i % 26) * 3} {chr(98 + i % 25) * 4} lorem {i}", f"l{i % 130}") for i in range(2600)], "doc_id long, text string, lang string")
+    assert len(lang_id.learn(docs)[0]) == 130
+    monkeypatch.setattr(lang_id, "LANGUAGES", 100)
+    with pytest.raises(ValueError, match="100 languages"):
+        lang_id.learn(docs)
+
+
 def test_token_files(spark, both):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
@@ -351,6 +487,8 @@ def test_token_files(spark, both):
         at += r["n_tokens"]
     order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
     assert order == [d for d, _ in rows]
+    some = spark.createDataFrame([(d,) for d in (1003, 12, 1150, 7, 999_999)], "doc_id long")
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in token_store.read_documents(spark, folder, some).collect()) == Counter((d, tuple(x)) for (d, _), x in zip(rows, ids) if d in (1003, 12, 1150, 7))
 
 
 def test_blocks_decode_in_parts_and_check_sums():
@@ -365,6 +503,7 @@ def test_blocks_decode_in_parts_and_check_sums():
     size = token_store.CHECKPOINT * token_store.LANES
     parts = [token_store.unpack(block, symbol, freq, first, p)[2] for p in range(-(-len(ids) // size))]
     assert np.concatenate(parts).tolist() == ids.tolist() and len(parts) > 2
+    assert token_store.documents_of(block)[0] == [1, None] and token_store.documents_of(block)[1].tolist() == [150_000, 50_000]
     with pytest.raises(ValueError, match="checksum"):
         token_store.unpack(block[:-3] + bytes([block[-3] ^ 1]) + block[-2:], symbol, freq, first)
     skewed = np.zeros(1000, np.int64)
