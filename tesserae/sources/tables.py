@@ -48,11 +48,27 @@ def encoding_of(head: bytes) -> str:
         return "UTF-8" if e.start >= len(head) - 6 and len(head) >= HEAD else "ISO-8859-1"
 
 
+def _head(spark: SparkSession, path: str) -> bytes:
+    """The first bytes of a file, read by a stream."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(stream.readNBytes(HEAD))
+    finally:
+        stream.close()
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Columns of the narrowest type that all values fit; lines with too many fields go, short ones are filled with nulls."""
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD)).first()[0])
+    """Columns of the narrowest type that all values fit; lines with too many fields go, short ones are filled with nulls.
+
+    Only the head is read to tell separator and encoding. A file is read in one piece only if a line has an odd number of
+    quotes, as where a line end stands inside a value; others are split among tasks.
+    """
+    head = _head(spark, path)
     sep, enc = sniff_delimiter(decoded(head)), encoding_of(head)
-    options = {"sep": sep, "encoding": enc, "header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": True}
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    whole = not spark.read.text(path).where(odd).isEmpty()
+    options = {"sep": sep, "encoding": enc, "header": True, "multiLine": whole, "quote": '"', "escape": '"', "enforceSchema": True}
     names = spark.read.options(**options).csv(path).columns
     names = [n.translate(_CP1252) for n in names] if enc == "ISO-8859-1" else names
     names = unique_names([n.lstrip("﻿") for n in (["" if re.fullmatch(r"_c\d+", n) else n for n in names])])
