@@ -59,7 +59,7 @@ def _joined(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def median(rows: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-    """(keys, value): the middle value of each group, or the mean of the two in the middle."""
+    """(keys, value): the middle value of each group, or the mean of the two in the middle; without keys one row, null if there is no value."""
     both = ranked(rows, keys, x, lambda n: (F.floor((n - 1) / 2), F.ceil((n - 1) / 2)))
     return both.groupBy(*keys).agg(F.avg("value").alias("value"))
 
