@@ -195,8 +195,9 @@ _NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_linenumber")
 def profile_numeric(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem").select(*_NUMBERS)
     found = profile.profile(df, row=None)
-    rows = [(c, round(float(p["min"]), 2), round(float(p["max"]), 2), round(p["mean"], 4), round(p["median"], 4), p["d"], p["missing"]) for c, p in found.items()]
-    return spark.createDataFrame(rows, "column_name string, low double, high double, mean double, median double, distinct_values long, missing long")
+    rows = [(c, float(p["min"]), float(p["max"]), p["mean"], p["median"], p["d"], p["missing"]) for c, p in found.items()]
+    df = spark.createDataFrame(rows, "column_name string, low double, high double, mean double, median double, distinct_values long, missing long")
+    return df.withColumns({c: F.round(c, n) for c, n in (("low", 2), ("high", 2), ("mean", 4), ("median", 4))})
 
 
 @query()
