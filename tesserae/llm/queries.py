@@ -27,14 +27,14 @@ def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).drop("tid", "class_distance", "common_distance")
 
 
-def removal(df: DataFrame) -> DataFrame:
-    """The digest of what a deduplication by spans returns."""
+def removal(df: DataFrame, *more: str) -> DataFrame:
+    """The digest of what a deduplication by spans returns, and more of its columns."""
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return df.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return df.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), *more)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400))
+    return removal(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400), "passage_bytes")
 
 
 def op6_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ passes over all data as the longest document has bytes, so three things bound it
   Equal windows have equal anchors at equal places. The windows of one document with one anchor form a run; runs are
   cut in halves, whose windows all contain one core. A core that occurs once cannot hold a repeated window.
 - Copies. Runs of equal bytes are one fragment, with its number; if a core has one fragment only, all is repeated.
+  What tells them apart are two 64-bit hashes that no choice of bytes makes collide, of the core and of the run.
 - Columns. Fragments with one core are aligned at it, and only suffixes in one column can be equal windows. So a round
   keeps the order of one column, and has `length` and the run's windows as columns at most, however long documents are.
 
@@ -32,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.spans import cut, text_id
-from tesserae.llm.textbytes import U64, byte_values, mix, prefix_hash, range_hash, text_slices
-from tesserae.llm.work import written
+from tesserae.llm.spans import cut, merged_spans, only, text_id
+from tesserae.llm.textbytes import U64, byte_values, mix, prefix_hash, range_hash, span_hashes, text_slices
+from tesserae.llm.work import dropped, in_arrow, written
 
 #: Bytes of an anchor, fragments of a block, and fragments of a core beyond which windows are counted by hash.
 ANCHOR, BLOCK, HOT = 64, 8192, 4096
@@ -61,9 +62,8 @@ def find_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, n
     none = np.zeros(0, np.int64)
     if not len(big):
         return {k: none for k in ("row", "start", "d", "n", "key", "full")}
-    sums = prefix_hash(data, byte_values(7))
     at = np.arange(n - ANCHOR + 1)
-    h = range_hash(sums, at, at + ANCHOR)
+    h = range_hash(prefix_hash(data, byte_values(7)), at, at + ANCHOR)
     least = _sliding_min((h & ~_M32) | (_M32 - at.astype(U64)), w)
     edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, offsets[:-1][big], 1)
@@ -77,8 +77,8 @@ def find_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, n
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(window)) - 1
     start, i, d, q = window[first], anchor[first], d[first], q[first]
-    core = range_hash(sums, i - q * half, i - np.minimum(q * half + half - 1, w - 1) + length)
-    full = range_hash(sums, start, window[last] + length)
+    core = span_hashes(data, i - q * half, i - np.minimum(q * half + half - 1, w - 1) + length, 3)
+    full = span_hashes(data, start, window[last] + length, 4)
     row = np.searchsorted(offsets, start, "right") - 1
     return {"row": row, "start": start - offsets[row], "d": d, "n": window[last] - start + 1, "key": mix(core + q.astype(U64)).view(np.int64), "full": mix(full + d.astype(U64)).view(np.int64)}
 
@@ -132,7 +132,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                 out = [batch.column(0).take(row), batch.column(1).take(row)]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(r[c], t) for c, t in (("start", pa.int64()), ("d", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("full", pa.int64()))], ["doc_id", "tid", "start", "d", "n", "key", "full"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_id().alias("tid"), "text").mapInArrow(rows, "doc_id long, tid long, start long, d int, n int, key long, full long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), text_id().alias("tid"), "text"), rows, "doc_id long, tid long, start long, d int, n int, key long, full long")
 
 
 _RUNS = "array<struct<a:int,b:int>>"
@@ -147,24 +147,22 @@ def _fragments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             out: list[list] = [[] for _ in range(8)]
             for i in range(batch.num_rows):
                 text = memoryview(batch.column(0)[i].as_buffer())
-                sums = None
                 for f in batch.column(1)[i].as_py():
                     s, k = f["start"], f["n"]
                     for c, name in enumerate(("key", "full", "d", "n", "copies", "hot")):
                         out[c].append(f[name])
-                    if f["hot"]:
-                        sums = prefix_hash(np.frombuffer(text, np.uint8), byte_values(11)) if sums is None else sums
-                        at = np.arange(s, s + k)
-                    out[6].append(None if f["hot"] else bytes(text[s : s + k + length - 1]))
-                    out[7].append(range_hash(sums, at, at + length).view(np.int64) if f["hot"] else None)
+                    fragment = text[s : s + k + length - 1]
+                    out[6].append(None if f["hot"] else bytes(fragment))
+                    at = np.arange(k)
+                    out[7].append(span_hashes(np.frombuffer(fragment, np.uint8), at, at + length, 5).view(np.int64) if f["hot"] else None)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], [x.split()[0] for x in _FRAGMENT.split(", ")])
 
     by_doc = wanted.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "n", "key", "full", "d", "copies", "hot")).alias("list"))
-    by_doc = by_doc.select(F.col("doc_id").alias("i"), F.col("tid").alias("t"), "list")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("tid"), F.col("text").cast("binary").alias("text"))
+    by_doc = written(by_doc.select(F.col("doc_id").alias("i"), F.col("tid").alias("t"), "list"), "wanted")
+    texts = only(docs, by_doc.select("i", "t"))
     both = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tid") == F.col("t")))
-    return both.select("text", "list").mapInArrow(rows, _FRAGMENT)
+    return in_arrow(both.select(F.col("text").cast("binary").alias("text"), "list"), rows, _FRAGMENT)
 
 
 def _by_order(fragments: DataFrame, length: int) -> DataFrame:
@@ -172,7 +170,6 @@ def _by_order(fragments: DataFrame, length: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(held: list) -> pa.RecordBatch:
-            held = list({(r[0], r[1], r[2], r[3]): r for r in held}.values())
             key = np.array([r[0] for r in held])
             d, n = np.array([r[2] for r in held]), np.array([r[3] for r in held])
             found = repeated_columns(key, d, n, [r[5] for r in held], length)
@@ -189,19 +186,22 @@ def _by_order(fragments: DataFrame, length: int) -> DataFrame:
                 if len(held) >= BLOCK and r[0] != held[-1][0]:
                     yield solved(held)
                     held = []
-                held.append(r)
+                if not held or held[-1][:4] != r[:4]:  # repeated rows of the table give a fragment more than once
+                    held.append(r)
         if held:
             yield solved(held)
 
-    ordered = fragments.select("key", "full", "d", "n", "copies", "fragment").repartition("key").sortWithinPartitions("key", "full")
-    return ordered.mapInArrow(rows, f"key long, full long, d int, n int, found {_RUNS}")
+    ordered = fragments.select("key", "full", "d", "n", "copies", "fragment").repartition("key").sortWithinPartitions("key", "full", "d", "n")
+    return in_arrow(ordered, rows, f"key long, full long, d int, n int, found {_RUNS}")
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     """(doc_id, tid, start, end): byte spans covered by strings of `length` bytes that start anywhere else as well."""
     runs = written(_runs(docs, length), "runs")
     groups = runs.groupBy("key").agg(F.count("*").alias("rows"), F.min("full").alias("low"), F.max("full").alias("high")).where("`rows` > 1")
-    shared = written(runs.join(groups.select("key", (F.col("low") != F.col("high")).alias("mixed")), "key"), "shared")
+    groups = written(groups.select("key", (F.col("low") != F.col("high")).alias("mixed")), "groups")  # a table of its own, so that Spark can split the join's exchange
+    shared = written(runs.join(groups, "key"), "shared")
+    dropped(runs)
     whole = shared.where("not mixed").select("doc_id", "tid", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
 
     mixed = shared.where("mixed")
@@ -233,6 +233,17 @@ def _ranges(places: Column) -> Column:
     return F.transform(F.array(places), runs)[0]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, removed array<struct<start,end>>, kept binary) of each document."""
-    return cut(docs, repeated_spans(docs, length))
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 256) -> DataFrame:
+    """(doc_id, n_bytes, removed array<struct<start,end>>, kept binary, passage_bytes long) of each document.
+
+    passage_bytes counts the bytes covered by strings of the shorter length `passage` that start anywhere else as well;
+    they are counted, not removed. A string of `length` bytes that is repeated lies in a run of such bytes that is as
+    long, so only documents with such a run are searched for it.
+    """
+    shorter = written(merged_spans(repeated_spans(docs, passage)), "passages")
+    long_ = shorter.where(F.exists("spans", lambda s: s["end"] - s["start"] >= length)).select(F.col("doc_id").alias("i"), F.col("tid").alias("t"))
+    spans = written(merged_spans(repeated_spans(only(docs, long_), length)), "spans")
+    total = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    both = shorter.select("doc_id", "tid", total.alias("n")).join(spans, [shorter["doc_id"].eqNullSafe(spans["doc_id"]), shorter["tid"] == spans["tid"]], "left")
+    both = written(both.select(shorter["doc_id"], shorter["tid"], "n", "spans"), "found")
+    return cut(docs, both.withColumnRenamed("n", "passage_bytes"))

@@ -6,12 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
+from pyspark.sql import DataFrame, SparkSession
+
+from tesserae.operators.joins import is_small, small  # noqa: F401
 
-#: Bytes of a side that may be broadcast, as its values take in a row. Sides are measured first; larger ones are joined by shuffle.
-BROADCAST_BYTES = 16 << 20
 #: Bytes of an Arrow batch that goes to a Python worker.
 ARROW_BYTES = 4 << 20
 
@@ -46,30 +44,6 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _bytes(c: Column, kind: DataType) -> Column:
-    """About how many bytes a value takes in a row of Spark's."""
-    if isinstance(kind, (StringType, BinaryType)):
-        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
-    if isinstance(kind, ArrayType):
-        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
-            return F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + _bytes(x, kind.elementType)), F.lit(0)) + 24
-        return F.coalesce(F.size(c), F.lit(0)) * 8 + 24
-    if isinstance(kind, StructType):
-        return sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
-    return F.lit(8)
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether all rows together take BROADCAST_BYTES at most, by their values."""
-    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8))
-    return (df.agg(F.sum(row)).first()[0] or 0) <= BROADCAST_BYTES
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it is small; df itself beyond that, for a shuffled join. df should be cheap to read, such as a written table."""
-    return F.broadcast(df) if is_small(df) else df
-
-
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tesserae.llm import bpe_codec, chunk_dedup, components, decontaminate, gear, lang_id, near_dup, pii, quality, queries, sharding, suffix_dedup, textbytes, token_store, tokenizer, work
+from tesserae.llm import bpe_codec, chunk_dedup, components, decontaminate, gear, lang_id, near_dup, pii, quality, queries, sharding, spans, suffix_dedup, textbytes, token_store, tokenizer, work
+from tesserae.operators import joins
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -202,14 +203,14 @@ def digest_of(rows, gone):
 def test_suffix_dedup(both, length, hot):
     rows = rows_of(both.where("doc_id < 1060 or doc_id is null or doc_id >= 1150"))
     docs = both.where("doc_id < 1060 or doc_id is null or doc_id >= 1150")
-    got = queries.removal(suffix_dedup.cut(docs, work.written(suffix_dedup.merged_spans(suffix_dedup.repeated_spans(docs, length, hot)), "spans"))).collect()
+    got = queries.removal(suffix_dedup.cut(docs, work.written(spans.merged_spans(suffix_dedup.repeated_spans(docs, length, hot)), "spans"))).collect()
     assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == digest_of(rows, removed_by_windows(rows, length))
 
 
 @pytest.mark.parametrize("broadcast", [16 << 20, 0])
 def test_removal_and_passages(both, monkeypatch, broadcast):
     """What is removed and what is counted as a passage, with and without broadcast joins."""
-    monkeypatch.setattr(work, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", broadcast)
     docs = both.where("doc_id < 1060 or doc_id is null or doc_id >= 1150")
     rows = rows_of(docs)
     got = queries.removal(suffix_dedup.remove_repeats(docs, 400, 120), "passage_bytes").collect()
@@ -390,6 +391,9 @@ def test_chunk_dedup(both):
         gone.append(np.zeros(len(t.encode()), bool))
         for a, e in cs:
             gone[-1][a:e] |= first[t.encode()[a:e]] != key(d, t, a)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone[-1].astype(np.int8), [0]])))
+        for a, e in zip(edges[::2], edges[1::2]):
+            gone[-1][a:e] &= e - a >= chunk_dedup.RUN
     got = queries.removal(chunk_dedup.remove_repeats(both)).collect()
     assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == digest_of(rows, gone)
 
