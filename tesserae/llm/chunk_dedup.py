@@ -4,7 +4,8 @@ A border stands where the gear rolling hash of the text's bytes is the largest w
 borders lie more than REACH bytes apart, about twice that on average, and each depends on some bytes around it alone:
 an insertion shifts no chunk but its own, and a passage of 50 words holds whole chunks wherever it stands. A stretch of
 over MOST bytes without a border is cut every MOST bytes. Of all chunks with one 128-bit digest the first, by doc_id
-and place, stays; the others are removed.
+and place, stays; the others are removed where they stand in runs of RUN bytes or more, so that a few common words which
+happen to fall into one chunk are left alone.
 
 The first chunk of a digest is found by a minimum that is summed up before the shuffle, and goes back by a join on the
 digest, which Spark splits if one chunk has very many rows.
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.gear import gear_hash
-from tesserae.llm.spans import cut, text_id
+from tesserae.llm.spans import cut, merged_spans, text_id
 from tesserae.llm.textbytes import sliding_max, text_slices
-from tesserae.llm.work import written
+from tesserae.llm.work import in_arrow, written
 
 #: Bytes on each side over which a border's hash is the largest, and most bytes of a chunk.
 REACH, MOST = 28, 1024
+#: Bytes of the shortest run of repeated chunks that is removed: a passage of 50 words holds a longer one.
+RUN = 60
 
 
 def borders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +74,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 out = [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x) for x in (s - offsets[row], e - offsets[row], digest[:, 0].copy(), digest[:, 1].copy()))]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "tid", "start", "end", "d1", "d2"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_id().alias("tid"), "text").mapInArrow(rows, "doc_id long, tid long, start long, end long, d1 long, d2 long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), text_id().alias("tid"), "text"), rows, "doc_id long, tid long, start long, end long, d1 long, d2 long")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -81,4 +84,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     first = all_.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     first = written(first, "first")  # a table of its own, so that Spark can split the join's exchange by size
     spans = all_.join(first, ["d1", "d2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "tid", "start", "end")
-    return cut(docs, spans)
+    runs = merged_spans(spans).withColumn("spans", F.filter("spans", lambda s: s["end"] - s["start"] >= RUN))
+    return cut(docs, written(runs.where(F.size("spans") > 0), "spans"))
