@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.components import components
 from tesserae.llm.textbytes import U64, list_array, mix, shingle_sets, text_slices
-from tesserae.llm.work import in_arrow, written
+from tesserae.llm.work import in_arrow, likely, written
 
 #: Low bits kept of each minimum, and minima in a band.
 BITS, ROWS = 4, 4
@@ -154,11 +154,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("rep", F.explode("bands").alias("key"))
     hubs = written(buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub"), "hubs")
-    member = written(buckets.join(hubs, "key"), "members")
+    member = written(likely(buckets, "key", hubs.select("key")).join(hubs, "key"), "members")
     met = classes.join(member.select("rep").distinct(), "rep", "left_semi")
     sets = written(_sets(docs, met.select("rep", "least", "d1", "d2"), k), "sets")
     sig = classes.select("rep", "sig")
-    stars = member.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = written(member.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
     links = written(_confirmed(written(_close(stars, sig, n, floor), "stars"), sets, percent), "links")
     links, label = _rounds(member.select("rep", "key"), links, classes.select("rep", "sig", "bands"), sets, n, floor, percent)
     # One doc_id may stand on several rows with different texts; they are one node.
@@ -206,7 +206,7 @@ def _rounds(member: DataFrame, links: DataFrame, classes: DataFrame, sets: DataF
         order = F.col("rep").bitwiseXOR(F.col("key")).bitwiseXOR(F.lit(salt))
         hubs = written(open_.groupBy("key").agg(F.min(order).alias("o")).select("key", F.col("o").bitwiseXOR(F.col("key")).bitwiseXOR(F.lit(salt)).alias("hub")), "hubs")
         hubs = written(hubs.join(open_.select("key", F.col("rep").alias("hub"), F.col("part").alias("p")), ["key", "hub"]), "hubs")
-        pairs = open_.join(hubs, "key").where("part <> p").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+        pairs = written(open_.join(hubs, "key").where("part <> p").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct(), "pairs")
         more = written(_confirmed(written(_close(pairs, sig, n, floor), "stars"), sets, percent), "links")
         if more.take(1):
             links = links.unionAll(more)
@@ -238,18 +238,20 @@ def _as_links(label: DataFrame) -> DataFrame:
 
 
 def _close(pairs: DataFrame, sig: DataFrame, n: int, floor: float) -> DataFrame:
-    a, b = sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
+    a, b = (likely(sig, "rep", pairs.select(c)).select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").where(estimate(F.col("sig_a"), F.col("sig_b"), n) >= floor).select("a", "b")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """The shingle sets of the wanted classes (rep, least, d1, d2); only the texts under their least doc_ids are read again."""
-    some = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """The shingle sets of the wanted classes (rep, least, d1, d2); of the texts, few but those under their least doc_ids are shuffled."""
+    wanted = written(wanted, "wanted")
+    some = likely(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", wanted.select("least"))
+    some = some.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id")  # a semi-join would be moved before the filter
     return shingle_table(some, k).join(wanted.select("rep", "d1", "d2"), ["d1", "d2"]).select("rep", "shingles", "parity").dropDuplicates(["rep"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full shingle sets are similar enough."""
-    a, b = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    a, b = (likely(sets, "rep", pairs.select(c)).select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")

@@ -15,6 +15,8 @@ from tokenizers import Tokenizer
 from tesserae.llm import bpe_codec, chunk_dedup, components, decontaminate, gear, lang_id, near_dup, pii, quality, queries, sharding, spans, suffix_dedup, textbytes, token_store, tokenizer, work
 from tesserae.operators import joins
 
+from .conftest import passage
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -80,6 +82,35 @@ def test_near_duplicates_by_rounds_of_hubs(spark, monkeypatch, few, rounds):
     assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, 3, 85).collect()} == want and len(set(want.values())) > 1
 
 
+def test_near_duplicates_shuffle_few_texts(spark, monkeypatch):
+    """Texts that share no band with another one are not shuffled, also where joins are too large to be broadcast."""
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    texts = [passage(1000, 500 + i) for i in range(150)] + [passage(1000, 500), passage(1000, 501) + " more"]
+    docs = work.written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "docs")
+
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = shuffled()
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, 3, 85).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sent = sum(n for stage, n in shuffled().items() if stage not in before)
+    assert got == {i: i for i in range(150)} | {150: 0, 151: 1} and sent < 0.5 * sum(map(len, texts))
+
+
+def test_likely_rows(spark):
+    """A filter of values keeps every row that has one, few others, and no null."""
+    rows = spark.range(20_000).selectExpr("nullif(id, 7) as x", "id as `a b`")
+    for wanted in (spark.range(0, 20_000, 20), spark.range(0), spark.createDataFrame([(None,), (3,)], "id long")):
+        got, want = {r["x"] for r in work.likely(rows, "x", wanted).collect()}, {r["id"] for r in wanted.collect()} - {None}
+        assert want <= got and len(got - want) < 0.03 * 20_000 and None not in got
+    assert work.likely(rows, "x", wanted).columns == rows.columns
+
+
 def test_estimate_is_corrected_for_chance(spark):
     a, b = " ".join(f"a{i}" for i in range(1000)), " ".join(f"a{i}" if i < 900 else f"b{i}" for i in range(1000))
     sig = {r["doc_id"]: r["sig"] for r in near_dup.signatures(spark.createDataFrame([(1, a), (2, b), (3, " ".join(f"c{i}" for i in range(900)))], "doc_id long, text string"), 1, 0.8).collect()}
