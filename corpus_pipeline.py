@@ -83,9 +83,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the ids of each row; a null or empty text has none."""
-    coded = bpe_codec.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), decode=False)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens, the ids of each row and the text they decode to; a null or empty text has no ids and decodes to an empty one."""
+    coded = bpe_codec.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [("quality rules", quality_rules), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("PII", personal_data), ("BPE encoding and decoding", tokens)]

@@ -43,6 +43,13 @@ def test_rows(spark, sf_dir, documents, ran):
     assert {d: r["ids"] for d, r in ran.items()} == want and 0 < len(want) < documents.count()
 
 
+def test_ids_are_decoded(spark, sf_dir, ran, odd):
+    """The last stage gives back the text of the ids, as the library decodes them."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [*ran.values(), *corpus_pipeline.tokens(spark, odd, sf_dir).collect()]
+    assert all(r["decoded"] == library.decode(r["ids"], skip_special_tokens=False) and r["n_tokens"] == len(r["ids"]) for r in rows)
+
+
 def test_documents_that_are_left(spark, sf_dir, ran):
     """Quality, near-duplicates and decontamination against their SQL, one on what the other kept."""
     sql = f"""with recursive {oracle.quality()}, kept1 as (select d.* from documents d join quality q on d.doc_id = q.doc_id where q.kept),
